@@ -17,13 +17,14 @@ client c cl patient pt participant helpseeker interviewee cliente paciente patie
 """.split()
 SPEAKER_WORDS = "speaker spk s voice person hablante falante locuteur sprecher sprecherin वक्ता பேச்சாளர்".split()
 # Sounds of hesitation in the languages of the transcripts.
-HESITATION_WORDS = "um umm uh uhh uhm er err erm hm hmm mm mmm mhm mhmm ah eh em este euh heu äh ähm öh hum ééé éé ahn tipo".split()
+HESITATION_WORDS = "um umm uh uhh uhm er err erm hm hmm mm mmm mhm mhmm ah eh em este euh heu äh ähm öh hum ééé éé ahn tipo उम्म उम्म् हम्म अं அ ம்ம் ம்ம்ம் ஹ்ம்".split()
 
 LINE_END = re.compile(r"\r?\n")
 _CLOCK = r"(?:\d{1,3}:)?\d{1,2}:\d{2}(?:[.,]\d{1,3})?"
 CUE_TIMES = re.compile(rf"^\s*({_CLOCK})\s*-->\s*({_CLOCK}).*$")
 CUE_NUMBER = re.compile(r"^\s*\d{1,6}\s*$")
 _STAMP = re.compile(rf"^\s*(?:\[\s*({_CLOCK})\s*\]|\(\s*({_CLOCK})\s*\)|({_CLOCK})(?!\d|\]|\)|[.,:]\d)(?:\s*[-–]\s(?=\S))?)\s*")
+_FRAMED = re.compile(r"^\s*([-–—=~_*#]{2,})[^\n]*?[-–—=~_*#]{2,}\s*$")
 _BULLET = re.compile(r"^\s*[-–•]\s+(?=\S)")
 _VOICE = re.compile(r"^\s*<v(?:\.[\w.]+)?\s+([^>]{1,40})>\s*")
 _BRACKET = re.compile(r"^\s*\[([^\]\n]{1,30})\]\s*(?:[:：]|[-–]\s)?\s*")
@@ -166,7 +167,7 @@ def _entries(lines: list[str], extra: frozenset[str]) -> tuple[list[Entry], list
     header: list[str] = []
     cue_start = None
     for no, line in enumerate(lines, 1):
-        if not line.strip() or CUE_NUMBER.match(line):
+        if not line.strip() or CUE_NUMBER.match(line) or _FRAMED.match(line):
             continue
         if m := CUE_TIMES.match(line):
             cue_start = _seconds(m[1])
