@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_pii", "q_conversations", "q_splits", "q_documents", "q_turns", "q_language")
+MODULES = ("q_pii", "q_conversations", "q_splits", "q_documents", "q_turns", "q_language", "q_mixing")
 
 QUERIES: dict = {}
 SQL: dict = {}
