@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("intervals",)
+MODULES = ("intervals", "scoring", "dyads")
 
 
 def gather() -> tuple[dict, dict]:
