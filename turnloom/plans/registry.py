@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("intervals", "scoring", "dyads")
+MODULES = ("intervals", "scoring", "dyads", "series")
 
 
 def gather() -> tuple[dict, dict]:
