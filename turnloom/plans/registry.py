@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("intervals", "scoring", "dyads", "series")
+MODULES = ("intervals", "scoring", "dyads", "series", "flagship")
 
 
 def gather() -> tuple[dict, dict]:
