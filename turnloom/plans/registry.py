@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("intervals", "scoring", "dyads", "series", "flagship")
+MODULES = ("intervals", "scoring", "dyads", "series", "flagship", "validation")
 
 
 def gather() -> tuple[dict, dict]:
