@@ -349,8 +349,12 @@ def name_in(mention: str, ordinary: frozenset[str]) -> tuple[int, int] | None:
     return words[0][0], end + (mention[end : end + 1] == "." and len(words[-1][2]) == 1)
 
 
-def mentions(texts: list[str], decoder: Decoder, ordinary: frozenset[str] = frozenset()) -> list[list[tuple[int, int, str]]]:
-    """``(start, end, type)`` of every mention in each text, in order."""
+def mentions(texts: list[str], decoder: Decoder, ordinary: frozenset[str] = frozenset(), lot: int = 256) -> list[list[tuple[int, int, str]]]:
+    """``(start, end, type)`` of every mention in each text, in order; tokens of ``lot`` texts are held at a time."""
+    return [found for at in range(0, len(texts), lot) for found in _mentions(texts[at : at + lot], decoder, ordinary)]
+
+
+def _mentions(texts: list[str], decoder: Decoder, ordinary: frozenset[str]) -> list[list[tuple[int, int, str]]]:
     spans = [[(m.end() - len(m.group().lstrip(" ")), m.end()) for m in TOKEN.finditer(t)] for t in texts]
     tokens = [TOKEN.findall(t) for t in texts]
     out = []
