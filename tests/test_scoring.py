@@ -1,13 +1,12 @@
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
-from turnloom.functions.lexicon import TERMS, count_patterns, is_phrase, overlap_free
+from turnloom.functions.lexicon import TERMS, is_phrase
 from turnloom.functions.text import clean_excerpt, clock, numbers_in, script_language
 from turnloom.operators.index import baselines, index_sessions
 from turnloom.operators.parse import merge_speaker_runs, parse_transcripts
-from turnloom.operators.score import DIMENSIONS, EMPTY_SCORES, score_utterances, session_features, with_silent_sessions
+from turnloom.operators.score import DIMENSIONS, EMPTY_SCORES, lexicon_counts, score_utterances, session_features, with_silent_sessions
 
 
 def naive(text, name):
@@ -21,17 +20,11 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("text", TEXTS)
-def test_grouped_patterns_count_like_single_terms(text):
-    low = f" {text.lower().strip()} "
-    for name in TERMS:
-        assert sum(len(re.findall(p, low)) for p in count_patterns(name)) == naive(text, name), name
-
-
-def test_groups_are_free_of_overlaps():
-    for name, terms in TERMS.items():
-        groups = overlap_free([t for t in terms if is_phrase(t)])
-        assert sorted(t for g in groups for t in g) == sorted(t for t in terms if is_phrase(t)), name
+def test_counts_are_those_of_single_terms(spark):
+    got = lexicon_counts(spark.createDataFrame([(t,) for t in TEXTS + ["Café, will_ will éwill WILL"]], "text string")).collect()
+    for row in got:
+        for name in TERMS:
+            assert row[f"c_{name}"] == naive(row.text, name), (name, row.text)
 
 
 def test_scores(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.functions.lexicon import FIRST_PERSON, MIXED_EMOTION, OTHER_PERSON, SELF_DISTANCING, TERMS, evidence, term_count, total
+from turnloom.functions.lexicon import FIRST_PERSON, MIXED_EMOTION, OTHER_PERSON, SELF_DISTANCING, TERMS, evidence, term_count, total, word_runs
 from turnloom.functions.numeric import clamp, round_n
 
 DIMENSIONS = ("self_agency", "future_orientation", "emotional_granularity", "problem_ownership", "reflection_depth")
@@ -41,7 +41,8 @@ def saturate(count: Column, half: float, n: Column) -> Column:
 def lexicon_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``toks``, ``n_words`` and a column c_<list> per word list, counted once."""
     low = df.withColumn("low_", padded(F.coalesce(F.col(text), F.lit(""))))
-    counts = {f"c_{name}": term_count(F.col("low_"), name) for name in TERMS}
+    low = low.withColumn("runs_", word_runs(F.col("low_")))
+    counts = {f"c_{name}": term_count(F.col("low_"), F.col("runs_"), name) for name in TERMS}
     counts |= {"c_mixed": total(F.col("low_"), MIXED_EMOTION), "c_distance": total(F.col("low_"), SELF_DISTANCING), "toks": tokens(F.col("low_"))}
     own = low.withColumns(counts)
     among = lambda words: F.size(F.filter("toks", lambda t: t.isin(*words)))
@@ -75,7 +76,7 @@ def score_utterances(df: DataFrame, text: str = "text", keep_evidence: bool = Fa
         found = F.map_from_arrays(F.array(*[F.lit(k) for k in EVIDENCE]), F.array(*[evidence(F.col("low_"), v) for v in EVIDENCE.values()]))
         scored = scored.withColumn("evidence", F.map_filter(found, lambda _, v: F.size(v) > 0))
     mean = sum((F.col(d) for d in DIMENSIONS[1:]), F.col(DIMENSIONS[0])) / 5.0
-    return scored.withColumn("process_mean", mean).drop("low_", "toks", *[x for x in own.columns if x.startswith("c_") and x not in df.columns])
+    return scored.withColumn("process_mean", mean).drop("low_", "runs_", "toks", *[x for x in own.columns if x.startswith("c_") and x not in df.columns])
 
 
 def session_features(utterances: DataFrame, *keys: str, min_words: int = 5) -> DataFrame:
