@@ -35,7 +35,7 @@ def text_sessions(spark: SparkSession, root: str, pattern: str | None = None) ->
         order = sorted((pattern.index(f"(?P<{g}>"), g) for g in ("client", "session") if f"(?P<{g}>" in pattern)
         at = {g: 1 + pattern[:i].replace("(?:", "").replace(r"\(", "").count("(") for i, g in order}
         files = files.where(F.col("name_").rlike(java)).withColumn("client_code", F.regexp_extract("name_", java, at["client"]))
-        given = F.expr(f"try_cast(regexp_extract(name_, '{java}', {at['session']}) as int)") if "session" in at else F.lit(None).cast("int")
+        given = F.regexp_extract("name_", java, at["session"]).try_cast("int") if "session" in at else F.lit(None).cast("int")
         files = files.withColumn("given_", F.nullif(given, F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("client_code").orderBy("name_"))
     ranked = files.withColumn("session_number", F.coalesce("given_", rank))
