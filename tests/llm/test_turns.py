@@ -1,7 +1,7 @@
 import pytest
 
 from turnloom.llm.transcript import label_of, parse, says_something, without_hesitation, without_notes
-from turnloom.llm.turns import calibrated_pause, entries_of_transcripts, overlap, session_entries, speaker_turns, turn_heads
+from turnloom.llm.turns import calibrated_pause, clean_entries, entries_of_transcripts, overlap, session_entries, speaker_turns, turn_heads
 
 T = "session_id long, transcript string, key string, sid int"
 U = "session_id long, idx int, raw_label string, text string, says boolean"
@@ -65,5 +65,18 @@ def test_long_session_rolling_captions_and_pauses(spark):
     assert calibrated_pause(e, 0.5) == 1.0 and speaker_turns(e, pause=5.0).count() == 2 and speaker_turns(e).count() == 1
 
 
+def test_real_repeats_stay(spark):
+    text = "T: How was the week?\nC: I want to try again.\nT: What would help?\nC: I want to try again.\nT: What would help?\nC: I want to try again. Today."
+    assert heads(spark, [(1, text, "k", 1)], []) == [(1, i, "client" if i % 2 == 0 else "therapist") for i in range(1, 7)]
+    e = entries_of_transcripts(spark.createDataFrame([(1, text, "k", 1)], T))
+    assert [r.text for r in speaker_turns(e).orderBy("line_no").collect()] == [line[3:] for line in text.split("\n")]
+    said = lambda t: [r[6] for r in clean_entries(t)]
+    assert said("[00:10] C: it was so bad\n[00:20] C: it was so bad") == ["it was so bad"] * 2 == said("C: it was so bad\nC: it was so bad")
+    cue = "00:00:01,000 --> 00:00:04,000\nC: I went to the shop\n\n00:00:{},000 --> 00:00:09,000\nC: to the shop again"
+    assert said(cue.format("04")) == ["I went to the shop", "again"] and said(cue.format("07")) == ["I went to the shop", "to the shop again"]
+    rolled = clean_entries("00:00:01,000 --> 00:00:04,000\nC: so why was it?\n\n00:00:03,000 --> 00:00:05,000\nC: so why was it?")
+    assert [r[4:] for r in rolled] == [(True, True, "so why was it?"), (True, True, "")]
+
+
 def test_empty(spark):
     assert heads(spark, [], []) == []

@@ -136,6 +136,7 @@ class Entry:
     role: str | None
     start: float | None
     parts: list[str] = field(default_factory=list)
+    end: float | None = None
 
     @property
     def text(self) -> str:
@@ -165,18 +166,19 @@ def parse(text: str) -> tuple[list[Entry], list[str]]:
 def _entries(lines: list[str], extra: frozenset[str]) -> tuple[list[Entry], list[str]]:
     entries: list[Entry] = []
     header: list[str] = []
-    cue_start = None
+    cue_start = cue_end = None
     for no, line in enumerate(lines, 1):
         if not line.strip() or CUE_NUMBER.match(line) or _FRAMED.match(line):
             continue
         if m := CUE_TIMES.match(line):
-            cue_start = _seconds(m[1])
+            cue_start, cue_end = _seconds(m[1]), _seconds(m[2])
             continue
         bare, at = strip_stamps(line)
         if found := split_label(bare, extra):
-            entries.append(Entry(no, found[0], found[1], cue_start if at is None else at, [found[2]]))
-            cue_start = None
+            entries.append(Entry(no, found[0], found[1], cue_start if at is None else at, [found[2]], cue_end if at is None else None))
+            cue_start = cue_end = None
         elif entries:
+            entries[-1].end = entries[-1].end if cue_end is None else cue_end
             entries[-1].parts.append(bare if at is not None else line.strip())
         else:
             header.append(bare)

@@ -45,16 +45,32 @@ def sweep(entries: list[Entry]) -> list[Entry]:
     return entries
 
 
+def rolls_on(before: Entry | None, entry: Entry) -> bool:
+    """Whether ``entry`` may be the next of rolling captions: it directly follows an entry of its speaker, and their cues overlap or touch or neither has a time.
+
+    A stamp without an end shows no overlap, so stamped entries are left as they are.
+    """
+    if before is None or before.key != entry.key:
+        return False
+    if before.start is None and entry.start is None:
+        return True
+    return before.end is not None and entry.start is not None and entry.start <= before.end
+
+
 def clean_entries(text: str) -> list[tuple]:
-    """Rows of ENTRY for one transcript; repeated words of rolling captions are removed from the later entry of a speaker."""
-    out, last = [], {}
+    """Rows of ENTRY for one transcript; words of rolling captions are removed from the later of two directly neighbouring entries.
+
+    Whether an entry says or asks something is judged before that, so none is dropped for it; an entry without a time that only repeats keeps its words.
+    """
+    out, before, last = [], None, []
     for e in sweep(parse(text)[0]):
         said = without_notes(e.text)
         words = said.split()
-        k = overlap(last.get(e.key, []), words)
-        last[e.key] = words or last.get(e.key, [])
-        rest = " ".join(words[k:])
-        out.append((e.line_no, e.key, e.role, e.start, says_something(rest), "?" in rest or "？" in rest, without_hesitation(rest)))
+        k = overlap(last, words) if rolls_on(before, e) else 0
+        if k == len(words) and e.start is None:
+            k = 0
+        before, last = e, words
+        out.append((e.line_no, e.key, e.role, e.start, says_something(said), "?" in said or "？" in said, without_hesitation(" ".join(words[k:]))))
     return out
 
 
@@ -171,7 +187,7 @@ def speaker_turns(entries: DataFrame, block: int = 4096, pause: float | None = N
         new = new | F.coalesce(F.col("start") - F.col("carried.start") > pause, F.lit(False))
     heads = before.withColumn("head", F.when(new, F.col("line_no"))).drop("carried")
     whole = _carried(heads, F.col("head"), "line_no", block, inclusive=True)
-    parts = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    parts = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("line_no", "text"))))
     return whole.groupBy("sid", F.col("carried").alias("head_line"), "speaker").agg(
         F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text")
     ).select("sid", F.col("head_line").alias("line_no"), "speaker", "text")
