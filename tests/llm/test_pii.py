@@ -67,6 +67,18 @@ def test_exact_checks():
     assert pii.name_in("T – Tomasz", ordinary) == (4, 10) and pii.name_in("Thandeka Q.", ordinary) == (0, 11) and pii.name_in("Will", ordinary) is None
 
 
+def test_a_frequent_word_can_be_a_name(spark, tagger):
+    ordinary = ordinary_vocabulary() | {"una", "will", "may"}
+    assert pii.name_in("Una", ordinary, "so I told ") == (0, 3) and pii.name_in("May", ordinary, "I saw Dr. ") == (0, 3)
+    for mention, before in (("Una", "bad.\nTherapist - "), ("Will", "and then. "), ("Quand", "fois, euh, "), ("will", "so I "), ("<v Client", "")):
+        assert pii.name_in(mention, ordinary | {"quand"}, before) is None
+    text = "Client lives with partner Una."
+    assert [text[a:b] for a, b, k in pii.mentions([text], pii.Decoder(tagger), ordinary)[0] if k == "person"] == ["Una"]
+    texts = ["yesterday jorvane qualms"] * 60 + ["we saw Jorvane there"] * 20 + ["nothing"] * 120 + ["marlo rang"] * 6
+    found = pii.ordinary_words(spark.createDataFrame([(t,) for t in texts], "t string"))
+    assert "qualms" in found and "jorvane" not in found and "marlo" not in found
+
+
 def test_redaction_keeps_lines():
     assert pii.redacted("a 12\n34 b", [(2, 7, "phone")]) == "a [PHONE]\n b" and pii.redacted("x", []) == "x"
 

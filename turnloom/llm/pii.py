@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.pii_samples import labelled, ordinary_vocabulary
+from turnloom.llm.transcript import HESITATION_WORDS
 from turnloom.session import spread
 
 TYPES = ("email", "phone", "identity_number", "address", "person")
@@ -331,19 +332,32 @@ _WORD = re.compile(r"[^\W\d_]+")
 _FRONT = re.compile(r"^.*(?:[:：>\]]\s*|\s[-–—]\s)", re.DOTALL)
 
 
-def name_in(mention: str, ordinary: frozenset[str]) -> tuple[int, int] | None:
+_AHEAD = re.compile(r"(?<![<\w])([^\W\d_]+)([.,]?) $")
+
+
+def in_sentence(before: str) -> bool:
+    """Whether the text in front shows that a sentence goes on, so that a capital after it is one of the word's own: a word in lower case or a title stands there."""
+    m = _AHEAD.search(before[-40:])
+    if not m or m[1].casefold() in HESITATION_WORDS:
+        return False
+    return m[1].lower() in _TITLES or m[1].islower() and m[2] != "."
+
+
+def name_in(mention: str, ordinary: frozenset[str], before: str = "") -> tuple[int, int] | None:
     """The part of a supposed name that can be one: without a label in front and without ordinary lower-case words at its ends; None if nothing is left.
 
-    A name keeps at least one word of two letters or more that is no title and, in lower case, no ordinary word, and has no ordinary lower-case word inside.
+    A name keeps at least one word of two letters or more that is no title and either has a capital inside a sentence (``before`` is the text in front of
+    the mention) or is, in lower case, no ordinary word; it has no ordinary lower-case word inside.
     """
     front = _FRONT.match(mention)
     words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(mention, front.end() if front else 0)]
     plain = lambda w: w in ordinary and w not in _TITLES
+    own = lambda at, w: w[0].isupper() and in_sentence(before + mention[:at]) or w.lower() not in ordinary
     while words and plain(words[0][2]):
         words.pop(0)
     while words and plain(words[-1][2]):
         words.pop()
-    if any(plain(w) for _, _, w in words) or not any(len(w) > 1 and w.lower() not in ordinary and w.lower() not in _TITLES for _, _, w in words):
+    if any(plain(w) for _, _, w in words) or not any(len(w) > 1 and w.lower() not in _TITLES and own(at, w) for at, _, w in words):
         return None
     end = words[-1][1]
     return words[0][0], end + (mention[end : end + 1] == "." and len(words[-1][2]) == 1)
@@ -369,7 +383,7 @@ def _mentions(texts: list[str], decoder: Decoder, ordinary: frozenset[str]) -> l
             k += 1
             start, end = span[a][0], span[b][1]
             if TYPES[own] == "person":
-                part = name_in(text[start:end], ordinary)
+                part = name_in(text[start:end], ordinary, text[max(0, start - 40) : start])
                 if part is None:
                     continue
                 start, end = start + part[0], start + part[1]
@@ -388,14 +402,20 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(parts + [text[at:]])
 
 
-def ordinary_words(texts: DataFrame, text: str = "t", least_share: float = 0.006, least_texts: int = 5) -> frozenset[str]:
-    """Words written in lower case in at least ``least_share`` of all texts, and those of the labelled table.
+_LOWER = r"(?<![\p{L}\p{N}@._+-])\p{Ll}{2,}(?![\p{L}\p{N}@]|\.\p{L})"
+_CAPITAL = r"(?<=\p{Ll} )\p{Lu}\p{Ll}+(?![\p{L}\p{N}@]|\.\p{L})"
+
+
+def ordinary_words(texts: DataFrame, text: str = "t", share: float = 0.9) -> frozenset[str]:
+    """Words that at least ``share`` of the texts in which their own spelling shows write in lower case, and those of the labelled table.
 
-    The counts cover every text and are summed up map-side; there can be no more such words than 1 / least_share times the mean number of distinct words in a text.
+    A capital counts only inside a sentence, where it is the word's own. Every word starts with one text against it, so a word seen in a few texts only is
+    never judged ordinary; how large the corpus is makes no difference. The counts cover every text and are summed up map-side.
     """
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?<![\p{L}\p{N}@._+-])\p{Ll}{2,}(?![\p{L}\p{N}@]|\.\p{L})"), F.lit(0)))).alias("w"))
-    least = max(least_texts, least_share * texts.count())
-    often = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    seen = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"{_LOWER}|{_CAPITAL}"), F.lit(0)))
+    words = texts.select(F.explode(seen).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    lower = F.coalesce(F.sum(F.when(F.col("w") == F.lower("w"), F.col("n"))), F.lit(0))
+    often = words.groupBy(F.lower("w").alias("w")).agg(lower.alias("low"), F.sum("n").alias("n")).where(F.col("low") >= share * (F.col("n") + 1))
     return ordinary_vocabulary() | {r["w"] for r in often.select("w").collect()}
 
 
