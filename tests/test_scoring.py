@@ -7,6 +7,7 @@ from turnloom.functions.text import clean_excerpt, clock, numbers_in, script_lan
 from turnloom.operators.index import baselines, index_sessions
 from turnloom.operators.parse import merge_speaker_runs, parse_transcripts
 from turnloom.operators.score import DIMENSIONS, EMPTY_SCORES, lexicon_counts, score_utterances, session_features, with_silent_sessions
+from turnloom.plans.registry import gather
 
 
 def naive(text, name):
@@ -66,3 +67,10 @@ def test_text_helpers(spark):
         clean_excerpt(F.lit("One two. Three")).alias("e"), clean_excerpt(F.lit("word " * 40)).alias("f"),
     ).first()
     assert (r.a, r.b, r.c, r.d, r.e) == ("ta", "en", [-3.25, 6.0], "02:05", "One two.") and r.f.endswith("…") and len(r.f) <= 81
+
+
+def test_documents_are_scored_whatever_their_label(spark, tmp_path):
+    rows = [(1, "I will try.", "en"), (2, "I will try.", "EN"), (3, "I will try.", None), (4, "I will try.", "xx"), (5, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: tuple(r)[1:] for r in gather()[0]["all_document_scores"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and len({got[i] for i in range(1, 5)}) == 1 and got[1][0] == 3.0 and got[5][0] == 0.0
