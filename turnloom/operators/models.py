@@ -45,5 +45,19 @@ def fit_and_predict(train: DataFrame, test: DataFrame, learner: str, **options)
     return model, model.transform(test).select("*", named.alias("predicted"))
 
 
+def out_of_fold(folds: DataFrame, learner: str, label: str = "label", k: int = 5, **options) -> DataFrame:
+    """``(label, predicted)`` of every row, each fold predicted by a fit on the others; rows of a class that the others lack count as '(not predicted)'."""
+    out = None
+    for i in range(k):
+        train, test = folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)
+        if test.isEmpty():
+            continue
+        model, got = fit_and_predict(train, test, learner, label=label, **options)
+        known = got.select(label, "predicted")
+        unseen = test.where(~F.col(label).isin(model.stages[0].labels)).select(label, F.lit("(not predicted)").alias("predicted"))
+        out = known.union(unseen) if out is None else out.union(known).union(unseen)
+    return folds.select(label, F.lit(None).cast("string").alias("predicted")).limit(0) if out is None else out
+
+
 def mlp_layers(n_inputs: int, n_classes: int, hidden: int = 128) -> MultilayerPerceptronClassifier:
     return MultilayerPerceptronClassifier(featuresCol="x_", labelCol="y_", layers=[n_inputs, hidden, n_classes], seed=1)
