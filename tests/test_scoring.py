@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.lexicon import TERMS, is_phrase
 from turnloom.functions.text import clean_excerpt, clock, numbers_in, script_language
-from turnloom.operators.index import baselines, index_sessions
+from turnloom.operators.index import baselines, index_sessions, within_person_z
 from turnloom.operators.parse import merge_speaker_runs, parse_transcripts
 from turnloom.operators.score import DIMENSIONS, EMPTY_SCORES, lexicon_counts, score_utterances, session_features, with_silent_sessions
+from turnloom.operators.rules import early_warning
 from turnloom.plans.registry import gather
+from turnloom.session import hot_join
 
 
 def naive(text, name):
@@ -36,7 +38,7 @@ def test_scores(spark):
     assert all(got["moving"][d] > got["stuck"][d] for d in DIMENSIONS)
     assert all(abs(got[k][f] - v) < 1e-9 for k in ("empty", "null") for f, v in EMPTY_SCORES.items())
     assert all(0.2 <= got["short"][d] <= 0.65 for d in DIMENSIONS)
-    assert got["moving"].evidence["self_agency+"] == ["i decide", "i decided", "i decided to", "i will"]  # the second holds the first and "hopelessness" not in got["moving"].evidence
+    assert got["moving"].evidence["self_agency+"] == ["i decide", "i decided", "i decided to", "i will"] and "hopelessness" not in got["moving"].evidence
 
 
 def test_sessions_baseline_and_index(spark):
@@ -50,9 +52,11 @@ def test_sessions_baseline_and_index(spark):
 def test_parse_and_roles(spark):
     t = "Recorded\n[00:01] Therapist: How are you?\nClient: Fine.\nI think so.\n\nTherapist:  \nClient - Maybe so"
     u = "SPEAKER_00: I was at home and it was bad\nSPEAKER_01: What was bad?\nSPEAKER_00: All of it"
-    s = spark.createDataFrame([(1, t), (2, u), (3, "no labels here"), (4, None), (5, "")], "sid int, transcript string")
+    s = spark.createDataFrame([(1, t), (2, u), (3, "no labels here"), (4, None), (5, ""), (6, "Therapist: So?\nClient - Well - I guess")], "sid int, transcript string")
     turns, info = parse_transcripts(s, "sid")
     got = [(r.sid, r.idx, r.speaker, r.text) for r in turns.orderBy("sid", "idx").collect()]
+    # the label takes all it can up to the last separator in reach, so "Client - Well" is a label of its own
+    assert {(r.raw_label, r.text) for r in turns.where("sid = 6 and idx = 1").collect()} == {("Client - Well ", "I guess")}
     assert got[:3] == [(1, 0, "therapist", "How are you?"), (1, 1, "client", "Fine. I think so."), (1, 3, "client", "Maybe so")]
     assert [(g[1], g[2]) for g in got if g[0] == 2] == [(0, "client"), (1, "therapist"), (2, "client")]
     i = {r.sid: r for r in info.collect()}
@@ -66,11 +70,40 @@ def test_text_helpers(spark):
         script_language(F.lit("நான் ok")).alias("a"), script_language(F.lit("plain")).alias("b"), numbers_in(F.lit("6.0 or 6, then -3.25")).alias("c"), clock(F.lit(125.9)).alias("d"),
         clean_excerpt(F.lit("One two. Three")).alias("e"), clean_excerpt(F.lit("word " * 40)).alias("f"),
     ).first()
-    assert (r.a, r.b, r.c, r.d, r.e) == ("ta", "en", [-3.25, 6.0], "02:05", "One two.") and r.f.endswith("…") and len(r.f) <= 81
+    assert (r.a, r.b, r.c, r.d, r.e) == ("ta", "en", ["-3.25", "6"], "02:05", "One two.") and r.f.endswith("…") and len(r.f) <= 81
+
+
+def test_text_helpers_keep_the_small_print(spark):
+    df = spark.createDataFrame([("123.456 and 123.46 and 1234.7, 12345.6, 0.00012345",), ("Take 3.5 mg daily? Yes! Then. Stop",), ("Is it? No! Go",), ("நா abcd",), ("ab ஏ எ ஆ अ",)], "t string")
+    got = [tuple(r) for r in df.select(numbers_in(F.col("t")), clean_excerpt(F.col("t")), script_language(F.col("t"))).collect()]
+    assert set(got[0][0]) == {"123.5", "1235", "12350.0", "1.234E-4"} or set(got[0][0]) == {"123.5", "1235", "12350.0", "1.235E-4"}
+    assert got[1][1] == "Take 3.5 mg daily? Yes! Then." and got[2][1] == "Is it?"
+    assert got[3][2] == "ta" and got[4][2] == "ta"
+
+
+def test_early_warning_counts_a_plateau(spark):
+    rows = [(1, n, 50.0, 0.0, 0.0, 100.0) for n in range(1, 7)] + [(2, n, 60.0 - 6 * n, 0.4, 0.0, 100.0 if n < 5 else 40.0) for n in range(1, 6)] + [(3, 1, 50.0, 0.0, 0.0, 9.0)]
+    x = spark.createDataFrame(rows, "client_id int, session_number int, tpi double, hopelessness double, rumination double, n_client_words double")
+    states = spark.createDataFrame([(1, "plateauing"), (2, "regressing")], "client_id int, state string")
+    got = {r.client_id: (r.score, r.level, r.reasons) for r in early_warning(x, states).collect()}
+    assert got == {1: (0.1, "none", "plateau"), 2: (1.0, "elevated", "falling;below_baseline;hopelessness;fewer_words")}
+
+
+def test_a_baseline_without_spread(spark):
+    df = spark.createDataFrame([(1, 2.0, True), (1, 2.0, True), (1, 3.0, False), (2, 1.0, True)], "k int, x double, b boolean")
+    assert sorted((r.k, r.x, r.x_z) for r in within_person_z(df, "k", "x", "b").collect() if r.x_z) == [(1, 3.0, 1e6)]
+
+
+def test_hot_join_spreads_a_hot_key(spark):
+    left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = spark.range(0, 3000, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w")).union(spark.createDataFrame([(7, 70)], "k long, w long"))
+    for how in ("inner", "left"):
+        a, b = (sorted(map(tuple, x.select("k", "v", "w").collect()), key=repr) for x in (hot_join(left, right, "k", how, parts=8, least=500), left.join(right, "k", how)))
+        assert a == b and len(a) >= 1000
 
 
 def test_documents_are_scored_whatever_their_label(spark, tmp_path):
     rows = [(1, "I will try.", "en"), (2, "I will try.", "EN"), (3, "I will try.", None), (4, "I will try.", "xx"), (5, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: tuple(r)[1:] for r in gather()[0]["all_document_scores"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in gather()[0]["document_scores"](spark, str(tmp_path)).collect()}
     assert set(got) == {1, 2, 3, 4, 5} and len({got[i] for i in range(1, 5)}) == 1 and got[1][0] == 3.0 and got[5][0] == 0.0

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def round_n(x: Column, n: int) -> Column:
-    """Half-up rounding on the binary value, the same in every engine that has floor()."""
+    """Half-even rounding of the product with 10^n. It differs from rounding the exact binary value only where that product itself is rounded onto a tie (2.675 and the like)."""
     k = float(10**n)
-    return F.floor(x * F.lit(k) + F.lit(0.5)).cast("double") / F.lit(k)
+    return F.rint(x * F.lit(k)) / F.lit(k)
 
 
 def clamp(x: Column, low: float, high: float) -> Column:

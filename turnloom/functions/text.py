@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 
 def script_language(text: Column) -> Column:
-    """'ta' or 'hi' where at least a fifth of the letters of the three scripts are Tamil or Devanagari (the larger one), else 'en'."""
-    ta, hi, en = (F.regexp_count(text, F.lit(p)) for p in (r"[஀-௿]", r"[ऀ-ॿ]", "[A-Za-z]"))
-    total = F.greatest(F.lit(1), ta + hi + en)
-    return F.when((ta >= hi) & (ta / total >= 0.2), "ta").when(hi / total >= 0.2, "hi").otherwise("en")
+    """'ta' or 'hi' where Tamil or Devanagari (the more frequent one, ties: Tamil) makes up a fifth or more of its own and the Latin letters together, else 'en'."""
+    ta, hi, en = (F.regexp_count(text, F.lit(p)) for p in (r"[\u0b80-\u0bff]", r"[\u0900-\u097f]", "[A-Za-z]"))
+    return F.when((ta == 0) & (hi == 0), "en").when((ta >= hi) & (ta >= 0.2 * (en + ta)), "ta").when((hi > ta) & (hi >= 0.2 * (en + hi)), "hi").otherwise("en")
 
 
 def sentence_list(text: Column) -> Column:
@@ -18,9 +17,21 @@ def sentence_list(text: Column) -> Column:
 
 
 def numbers_in(text: Column) -> Column:
-    """Numeric tokens in one spelling: as doubles with four significant digits after rounding, so that 6.0 and 6 are the same."""
-    raw = F.regexp_extract_all(text, F.lit(r"-?\d+\.?\d*"), F.lit(0))
-    return F.array_sort(F.array_distinct(F.transform(raw, lambda x: F.round(x.cast("double"), 4))))
+    """Distinct numeric tokens in one spelling, as strings: 6.0 and 6 are "6", other fractions keep four significant digits (123.456 and 123.46 are "123.5").
+
+    A fraction of five or more whole digits is kept apart from the whole number it rounds to.
+    """
+    def spell(token: Column) -> Column:
+        x = token.cast("double")
+        k = F.pow(F.lit(10.0), 3 - F.floor(F.log10(F.abs(F.when(x == 0, 1.0).otherwise(x)))))
+        v = F.rint(x * k) / k
+        whole = (x == F.floor(x)) | ((v == F.floor(v)) & (F.abs(v) < 1e4))
+        return F.when(whole, F.format_string("%.0f", v_or(x, v))).otherwise(v.cast("string"))
+
+    def v_or(x: Column, v: Column) -> Column:
+        return F.when(x == F.floor(x), x + F.lit(0.0)).otherwise(v)
+
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"-?\d+\.?\d*"), F.lit(0)), spell)))
 
 
 def unsupported_numbers(draft: Column, allowed: Column) -> Column:
@@ -33,8 +44,14 @@ def banned_terms(text: Column, terms: list[str]) -> Column:
 
 
 def clean_excerpt(text: Column, most: int = 80) -> Column:
-    """The first sentence, cut at a word boundary with an ellipsis where it is longer than ``most``."""
-    first = F.regexp_replace(F.regexp_extract(text, r"^[^.!?]*[.!?]?", 0), r"^\s+|\s+$", "")
+    """The first sentence in one line, cut at a word boundary with an ellipsis where it is longer than ``most``.
+
+    A sentence ends at a full stop with a blank behind it; only where none stands, at a question mark with a blank, and only then at an exclamation mark with one.
+    """
+    t = F.replace(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit("\n"), F.lit(" "))
+    first = t
+    for end in ("! ", "? ", ". "):
+        first = F.when(F.contains(t, F.lit(end)), F.concat(F.split_part(t, F.lit(end), F.lit(1)), F.lit(end[0]))).otherwise(first)
     return F.when(F.length(first) <= most, first).otherwise(F.concat(F.regexp_replace(F.substring(first, 1, most), r" [^ ]*$", ""), F.lit("…")))
 
 

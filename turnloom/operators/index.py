@@ -68,8 +68,8 @@ def absolute_index(features: DataFrame) -> DataFrame:
 
 
 def within_person_z(rows: DataFrame, key: str, value: str, is_baseline: str) -> DataFrame:
-    """``rows`` with <value>_z against the key's own baseline rows; null where they are fewer than two or do not vary."""
+    """``rows`` with <value>_z (four decimals) against the key's own baseline rows; null where those are fewer than two, and a spread of zero counts as 1e-6."""
     w = Window.partitionBy(key)
     b = F.when(F.col(is_baseline), F.col(value))
     n, m, s = F.count(b).over(w), F.avg(b).over(w), F.stddev_samp(b).over(w)
-    return rows.withColumn(f"{value}_z", F.when((n >= 2) & (s > 0), (F.col(value) - m) / s))
+    return rows.withColumn(f"{value}_z", F.when(n >= 2, round_n((F.col(value) - m) / F.when(s == 0, 1e-6).otherwise(s), 4)))

@@ -48,8 +48,11 @@ def target_dimensions(scored: DataFrame, base: DataFrame, key: str = "client_id"
     return out.select(key, "dimension", "n_sessions", "recent_z", round_n(F.col("r_") - F.col("e_"), 4).alias("drift"), "sessions_below", F.row_number().over(w.orderBy("recent_z", pos)).alias("rank"))
 
 
-def early_warning(scored: DataFrame, key: str = "client_id", order: str = "session_number") -> DataFrame:
-    """Score and level of a short series from its last values: slope, level, spread, hopeless or ruminating language and fewer words; needs four sessions."""
+def early_warning(scored: DataFrame, states: DataFrame, key: str = "client_id", order: str = "session_number") -> DataFrame:
+    """Score, level and reasons of a short series from its last values; needs four sessions.
+
+    Slope, level, spread, hopeless or ruminating language and fewer words count, and from six sessions on a ``state`` of plateauing in ``states(key, state)``, one row per key.
+    """
     w = Window.partitionBy(key)
     n = scored.withColumns({"back": F.row_number().over(w.orderBy(F.desc(order))), "n_": F.count(F.lit(1)).over(w)}).where("n_ >= 4")
     at = lambda k, c: F.max(F.when(F.col("back") == k, F.col(c)))
@@ -59,12 +62,16 @@ def early_warning(scored: DataFrame, key: str = "client_id", order: str = "sessi
         at(1, "n_client_words").alias("words"), F.avg(F.when(F.col("back") > 1, F.col("n_client_words"))).alias("prior"),
     )
     slope = (F.col("y1") - F.col("y3")) / 2
-    add = lambda c, v: F.when(c, v).otherwise(0.0)
-    score = (
-        F.when(slope < -2.0, 0.35).when(slope < -0.8, 0.18).otherwise(0.0) + add(F.col("y1") < 44, 0.2) + add((F.col("n") >= 5) & (F.col("spread") > 18), 0.15) + add(F.col("hope") > 0.3, 0.25)
-        + add(F.col("rum") > 0.3, 0.12) + add((F.col("prior") > 0) & (F.col("words") < 0.6 * F.col("prior")), 0.2)
-    )
-    return s.withColumn("score", round_n(F.least(F.lit(1.0), score), 3)).select(key, "n", "score", F.when(F.col("score") >= 0.55, "elevated").when(F.col("score") >= 0.3, "watch").otherwise("none").alias("level"))
+    # What each reason weighs.
+    reasons = {
+        "falling": (slope < -2.0, 0.35), "drifting_down": ((slope < -0.8) & (slope >= -2.0), 0.18), "below_baseline": (F.col("y1") < 44, 0.2), "wide_spread": ((F.col("n") >= 5) & (F.col("spread") > 18), 0.15),
+        "hopelessness": (F.col("hope") > 0.3, 0.25), "rumination": (F.col("rum") > 0.3, 0.12), "fewer_words": ((F.col("prior") > 0) & (F.col("words") < 0.6 * F.col("prior")), 0.2),
+        "plateau": ((F.col("n") >= 6) & F.coalesce(F.col("state") == "plateauing", F.lit(False)), 0.1),
+    }
+    score = sum((F.when(c, v).otherwise(0.0) for c, v in reasons.values()), F.lit(0.0))
+    why = F.array_join(F.array_compact(F.array(*[F.when(c, k) for k, (c, _) in reasons.items()])), ";")
+    s = s.join(states.select(key, "state"), key, "left")
+    return s.withColumns({"score": round_n(F.least(F.lit(1.0), score), 3), "reasons": why}).select(key, "n", "score", "reasons", F.when(F.col("score") >= 0.55, "elevated").when(F.col("score") >= 0.3, "watch").otherwise("none").alias("level"))
 
 
 def client_state(tpi: Column) -> Column:

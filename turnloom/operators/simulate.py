@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnloom.functions.numeric import round_n
 from turnloom.operators import trajectory as T
 from turnloom.operators.posterior import P_CC, P_CS, corrected_ratio
 
@@ -13,13 +14,15 @@ SHAPES = ("improving", "plateauing", "relapsing", "late_breakthrough", "flat")
 
 def shapes(spark: SparkSession, n: int = 12) -> DataFrame:
     """(shape, n, level): the latent level of each programmed case, without noise."""
-    x = F.col("i") / float(max(1, n - 1))
+    # Where each shape starts, bends and ends.
+    i, late = F.col("i").cast("double"), 0.6 * n
     level = (
-        F.when(F.col("shape") == "improving", 0.25 + 0.5 * x).when(F.col("shape") == "plateauing", F.when(x < 0.4, 0.3 + 0.75 * x).otherwise(0.6))
-        .when(F.col("shape") == "relapsing", F.when(x < 0.5, 0.3 + 0.7 * x).otherwise(0.65 - 0.8 * (x - 0.5))).when(F.col("shape") == "late_breakthrough", F.when(x < 0.65, 0.3).otherwise(0.3 + 1.2 * (x - 0.65))).otherwise(0.5)
+        F.when(F.col("shape") == "improving", 0.25 + 0.55 * (i / max(1, n - 1))).when(F.col("shape") == "plateauing", 0.30 + 0.35 * F.least(F.lit(1.0), i / 3))
+        .when(F.col("shape") == "relapsing", F.when(i <= 4, 0.30 + 0.40 * (i / 4)).otherwise(0.70 - 0.35 * ((i - 4) / max(1, n - 5))))
+        .when(F.col("shape") == "late_breakthrough", F.when(i < late, 0.30).otherwise(0.30 + 0.50 * ((i - late) / (0.4 * n)))).otherwise(0.5)
     )
     kinds = spark.createDataFrame([(s,) for s in SHAPES], "shape string")
-    return kinds.select("shape", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select("shape", (F.col("i") + 1).alias("n"), level.alias("level"))
+    return kinds.select("shape", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select("shape", (F.col("i") + 1).alias("n"), round_n(level, 6).alias("level"))
 
 
 def noisy_series(spark: SparkSession, n_series: int, n: int, slope: float, seed: int, parts: int = 8) -> DataFrame:

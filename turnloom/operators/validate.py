@@ -60,13 +60,21 @@ def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     return s.select(F.col("n1").cast("long").alias("n1"), n0.cast("long").alias("n0"), u.alias("u"), round_n(1 - erf(z / math.sqrt(2.0)), 6).alias("p"), round_n(F.try_divide(u, F.col("n1") * n0), 6).alias("auc"))
 
 
+def cross_products(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(a, b, n, corr)`` for every pair of columns, each with itself included: all that a linear regression needs, from one aggregation."""
+    rows = cut(df.select(*[F.col(c).cast("double") for c in columns])).dropna()
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    got = rows.agg(F.count(F.lit(1)).alias("n"), *[safe_corr(F.col(a), F.col(b)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), round_n(F.col(f"c{k}"), 6).alias("corr")) for k, (a, b) in enumerate(pairs)])
+    return got.select("n", F.explode(cells).alias("x")).select("x.a", "x.b", "n", "x.corr")
+
+
 def refit_weights(df: DataFrame, features: tuple[str, ...], target: str, least: int = 7, ridge: float = 1e-3) -> dict[str, float] | None:
     """Non-negative weights that sum to 1 from a ridge regression of the negated target on standardised features.
 
     One aggregation yields the means, variances and cross products; only that small matrix reaches the driver.
     """
-    rows = df.select(*[F.col(c).cast("double") for c in (*features, target)]).dropna()
-    rows = cut(rows)  # the scoring expressions would otherwise be repeated in every product
+    rows = cut(df.select(*[F.col(c).cast("double") for c in (*features, target)])).dropna()  # cut first: the scoring expressions would otherwise be repeated in the filter and in every product
     cols = [*features, target]
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.covar_samp(a, b).alias(f"c_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]

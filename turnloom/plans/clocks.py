@@ -16,7 +16,7 @@ from turnloom.session import table
 
 
 def _timed(spark, sf_dir):
-    t = table(spark, sf_dir, "aligned_turns").where("start_s >= 0 and not isnan(start_s) and not isnan(end_s) and end_s > start_s and end_s < 100000")
+    t = table(spark, sf_dir, "aligned_turns").where("start_s >= 0 and not isnan(start_s) and not isnan(end_s) and end_s > start_s")
     return latest_wins(t, ["session_id", "idx"], F.asc("start_s"), F.asc("end_s")).select("session_id", "idx", "speaker", "start_s", "end_s", "process_mean")
 
 
@@ -72,7 +72,7 @@ def fused_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def within_label_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), (F.col("vec_id") % 2 == 0).alias("base"))
-    return within_person_z(e, "label", "x", "base").select("vec_id", "label", round_n(F.col("x_z"), 4).alias("x_z"))
+    return within_person_z(e, "label", "x", "base").select("vec_id", "label", "x_z")
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,12 +86,12 @@ def document_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = X.numbers_in(F.col("text"))
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(n).alias("n_numbers"), F.coalesce(F.aggregate(n, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)).alias("sum_numbers"))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(n).alias("n_numbers"), F.aggregate(n, F.lit(0.0), lambda a, x: a + x.cast("double")).alias("sum_numbers"))
 
 
 def number_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of a document that are not among 0..12."""
-    allowed = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i: i.cast("double"))
+    allowed = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i: i.cast("string"))
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(X.unsupported_numbers(F.col("text"), allowed)).alias("n_unsupported"))
 
 
@@ -117,8 +117,9 @@ def measure_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def client_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "clients").select("id", "code").distinct()
-    return insert_new(c.where("id % 3 > 0"), c.where("id % 2 = 0"), "id")[0]
+    """All clients put into a table that holds those with a therapist already."""
+    c = table(spark, sf_dir, "clients").select("id", "code", "therapist_code").distinct()
+    return insert_new(c.where("therapist_code is not null").drop("therapist_code"), c.drop("therapist_code"), "id")[0]
 
 
 def deleted_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,12 +151,13 @@ document_excerpts document_sentences turn_clocks measure_upsert client_insert de
 QUERIES = {n: globals()[n] for n in _names}
 
 _TIMED = """timed AS (SELECT session_id, idx, speaker, start_s, end_s FROM (SELECT *, row_number() OVER (PARTITION BY session_id, idx ORDER BY start_s, end_s) AS rn FROM aligned_turns
-  WHERE start_s >= 0 AND NOT isnan(start_s) AND NOT isnan(end_s) AND end_s > start_s AND end_s < 100000) WHERE rn = 1)"""
+  WHERE start_s >= 0 AND NOT isnan(start_s) AND NOT isnan(end_s) AND end_s > start_s) WHERE rn = 1)"""
 _POINTS = f"{_TIMED}, pts AS (SELECT session_id, unnest(range(0, (floor(far / 20)::INT + 2))) * 20.0::DOUBLE AS t FROM (SELECT session_id, max(end_s) AS far FROM timed GROUP BY session_id))"
 _TRACK = "track AS (SELECT user_id, floor(epoch(ts))::BIGINT AS t, max(value) AS v, min(value) AS u FROM events WHERE value IS NOT NULL GROUP BY ALL)"
 _ep = lambda kind, cond: f"""SELECT user_id, min(t) AS start_t, max(t) AS end_t, count(*) AS n, max(t) - min(t) AS duration, '{kind}' AS kind FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - row_number() OVER (PARTITION BY user_id, {cond} ORDER BY t) AS g FROM zz) WHERE {cond} GROUP BY user_id, g HAVING max(t) - min(t) >= 60"""
-_NUM = "list_distinct(list_transform(regexp_extract_all(text, '-?\\d+\\.?\\d*'), lambda x: round(x::DOUBLE, 4)))"
+_SIG = "(round_even(x * pow(10.0::DOUBLE, 3 - floor(log10(abs(CASE WHEN x = 0 THEN 1.0::DOUBLE ELSE x END)))), 0) / pow(10.0::DOUBLE, 3 - floor(log10(abs(CASE WHEN x = 0 THEN 1.0::DOUBLE ELSE x END)))))"
+_NUM = f"list_distinct(list_transform(list_transform(regexp_extract_all(text, '-?\\d+\\.?\\d*'), lambda t: t::DOUBLE), lambda x: CASE WHEN x = floor(x) THEN format('{{:.0f}}', x) WHEN {_SIG} = floor({_SIG}) AND abs({_SIG}) < 10000 THEN format('{{:.0f}}', {_SIG}) ELSE {_SIG}::VARCHAR END))"
 _AZ, _VZ = "greatest(-3.0::DOUBLE, least(3.0::DOUBLE, az))", "greatest(-3.0::DOUBLE, least(3.0::DOUBLE, vz))"
 SQL = {
     "align_proportional": f"""WITH {CORPUS}, w AS (SELECT transcript_id, idx, greatest(1, {sql_space_words('text')})::DOUBLE AS n FROM corpus),
@@ -178,19 +180,21 @@ s AS (SELECT *, greatest(-4.0::DOUBLE, least(4.0::DOUBLE, CASE WHEN az IS NOT NU
 SELECT vec_id, {R('greatest(0.0::DOUBLE, least(100.0::DOUBLE, tpi + sh))', 2)} AS fused, {R('sh', 2)} AS shift, modalities,
   CASE WHEN modalities = 1 THEN 'text_only' WHEN abs(sh) < 1.0 THEN 'converging' WHEN sh > 0 THEN 'channels_support_higher' ELSE 'channels_suggest_caution' END AS agreement FROM s""",
     "within_label_z": f"""WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x FROM embeddings), b AS (SELECT label, count(*) AS n, avg(x) AS m, stddev_samp(x) AS s FROM e WHERE vec_id % 2 = 0 GROUP BY label)
-SELECT vec_id, label, {R('CASE WHEN n >= 2 AND s > 0 THEN (x - m) / s END', 4)} AS x_z FROM e LEFT JOIN b USING (label)""",
+SELECT vec_id, label, {R('CASE WHEN n >= 2 THEN (x - m) / CASE WHEN s = 0 THEN 1e-6::DOUBLE ELSE s END END', 4)} AS x_z FROM e LEFT JOIN b USING (label)""",
     "event_windows": f"SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, {R('sum(value)', 4)} AS total FROM events GROUP BY ALL",
     "document_scripts": r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[\x{0B80}-\x{0BFF}]')) AS ta, len(regexp_extract_all(text, '[\x{0900}-\x{097F}]')) AS hi, len(regexp_extract_all(text, '[A-Za-z]')) AS en FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CASE WHEN ta >= hi AND ta / greatest(1, ta + hi + en) >= 0.2 THEN 'ta' WHEN hi / greatest(1, ta + hi + en) >= 0.2 THEN 'hi' ELSE 'en' END AS script_lang FROM c""",
-    "document_numbers": f"SELECT doc_id, len({_NUM}) AS n_numbers, coalesce(list_sum({_NUM}), 0.0) AS sum_numbers FROM documents WHERE text IS NOT NULL",
-    "number_gate": f"SELECT doc_id, len(list_filter({_NUM}, lambda x: NOT list_contains([0.0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]::DOUBLE[], x))) AS n_unsupported FROM documents WHERE text IS NOT NULL",
-    "document_excerpts": """WITH f AS (SELECT doc_id, regexp_replace(regexp_extract(text, '^[^.!?]*[.!?]?', 0), '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g') AS f FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN ta = 0 AND hi = 0 THEN 'en' WHEN ta >= hi AND ta >= 0.2 * (en + ta) THEN 'ta' WHEN hi > ta AND hi >= 0.2 * (en + hi) THEN 'hi' ELSE 'en' END AS script_lang FROM c""",
+    "document_numbers": f"SELECT doc_id, len({_NUM}) AS n_numbers, list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_sort({_NUM}), lambda v: v::DOUBLE)), lambda a, b: a + b) AS sum_numbers FROM documents WHERE text IS NOT NULL",
+    "number_gate": f"SELECT doc_id, len(list_filter({_NUM}, lambda x: NOT list_contains(['0', '1', '2', '3', '4', '5', '6', '7', '8', '9', '10', '11', '12'], x))) AS n_unsupported FROM documents WHERE text IS NOT NULL",
+    "document_excerpts": """WITH t AS (SELECT doc_id, replace(regexp_replace(text, '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g'), chr(10), ' ') AS t FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, CASE WHEN contains(t, '. ') THEN split_part(t, '. ', 1) || '.' WHEN contains(t, '? ') THEN split_part(t, '? ', 1) || '?' WHEN contains(t, '! ') THEN split_part(t, '! ', 1) || '!' ELSE t END AS f FROM t)
 SELECT doc_id, CASE WHEN length(f) <= 80 THEN f ELSE regexp_replace(substr(f, 1, 80), ' [^ ]*$', '') || '…' END AS excerpt FROM f""",
+    "document_sentences": r"""SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?।|])[\s\x0b]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')) AS n_sentences FROM documents WHERE text IS NOT NULL""",
     "turn_clocks": f"WITH {_TIMED} SELECT session_id, idx, lpad((floor(start_s)::BIGINT // 60)::VARCHAR, 2, '0') || ':' || lpad((floor(start_s)::BIGINT % 60)::VARCHAR, 2, '0') AS clock FROM timed",
     "measure_upsert": """WITH m AS (SELECT DISTINCT * FROM measures), r AS (SELECT *, row_number() OVER (PARTITION BY client_id, session_number, instrument, id % 2 ORDER BY recorded_at DESC, id DESC) AS rn FROM m),
 one AS (SELECT * FROM r WHERE rn = 1) SELECT id, client_id, session_number, instrument, score, recorded_at FROM one a
 WHERE id % 2 = 0 OR NOT EXISTS (SELECT 1 FROM one b WHERE b.id % 2 = 0 AND b.client_id = a.client_id AND b.session_number = a.session_number AND b.instrument = a.instrument)""",
-    "client_insert": "SELECT DISTINCT id, code FROM clients WHERE id % 3 > 0 OR id % 2 = 0",
+    "client_insert": "SELECT DISTINCT id, code FROM clients",
     "deleted_clients": """WITH g AS (SELECT DISTINCT id AS gid FROM clients WHERE therapist_code IS NULL) SELECT 'clients' AS table_name, count(*) AS n_left FROM clients WHERE id NOT IN (SELECT gid FROM g WHERE gid IS NOT NULL) OR id IS NULL
 UNION ALL SELECT 'transcripts', count(*) FROM transcripts WHERE client_id NOT IN (SELECT gid FROM g WHERE gid IS NOT NULL) OR client_id IS NULL UNION ALL SELECT 'measures', count(*) FROM measures WHERE client_id NOT IN (SELECT gid FROM g WHERE gid IS NOT NULL) OR client_id IS NULL""",
     "client_summary": "SELECT id, min(code) AS code, coalesce(any_value(s), 0) AS n_sessions, coalesce(any_value(m), 0) AS n_measures FROM clients LEFT JOIN (SELECT client_id AS id, count(DISTINCT session_number) AS s FROM transcripts GROUP BY 1) USING (id) LEFT JOIN (SELECT client_id AS id, count(DISTINCT id) AS m FROM measures GROUP BY 1) USING (id) GROUP BY id",

@@ -51,8 +51,9 @@ def corpus_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = corpus_turns(spark, sf_dir).withColumn("n_space_words", space_words(F.col("text")))
-    scored = score_utterances(turns)
+    """All turns; only what the client says is scored on its words, a therapist's turn has the scores of silence and no process_mean."""
+    turns = corpus_turns(spark, sf_dir).withColumn("n_space_words", space_words(F.col("text"))).withColumn("own_", F.when(F.col("speaker") == "client", F.col("text")))
+    scored = score_utterances(turns, "own_").drop("own_")
     return scored.withColumn("process_mean", F.when(F.col("speaker") == "client", F.col("process_mean")))
 
 
@@ -70,7 +71,7 @@ def sql_role(label: str) -> str:
 
 
 def sql_round(x: str, n: int) -> str:
-    return f"(floor(({x}) * {10**n}.0::DOUBLE + 0.5::DOUBLE)::DOUBLE / {10**n}.0::DOUBLE)"
+    return f"(round_even(({x}) * {10**n}.0::DOUBLE, 0) / {10**n}.0::DOUBLE)"
 
 
 CORPUS = f"""

@@ -12,7 +12,7 @@ from turnloom.operators.score import AUXILIARY, DIMENSIONS, EMPTY_SCORES, FEATUR
 from turnloom.plans.fixtures import _in, sql_role, sql_round as R, sql_scored, sql_space_words
 from turnloom.plans.scoring import SESSION_VECTORS
 from turnloom.plans.series import _LAST6, _X6, sql_trend
-from turnloom.session import table
+from turnloom.session import cut, table
 
 KEYS = ("client_id", "session_number")
 
@@ -48,7 +48,7 @@ def client_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _features(spark, sf_dir)
+    f = cut(_features(spark, sf_dir))  # one small row per session, used twice
     return index_sessions(f, baselines(f))
 
 
@@ -120,6 +120,14 @@ z1 AS (SELECT feat.*, provisional, {', '.join(f'{R(f"({d} - mu_{d}) / sd_{d}", 4
 z2 AS (SELECT *, {', '.join(f'{R(f"{10.0 * WEIGHTS[d]!r}::DOUBLE * z_{d}", 3)} AS contribution_{d}' for d in DIMENSIONS)} FROM z1),
 idx AS (SELECT *, {R('greatest(0.0::DOUBLE, least(100.0::DOUBLE, 50.0::DOUBLE + ' + ' + '.join(f'contribution_{d}' for d in DIMENSIONS) + '))', 2)} AS tpi, {_conf('provisional')} AS confidence FROM z2)"""
 _abs = " + ".join(["0.0::DOUBLE", *[f"{WEIGHTS[d]}::DOUBLE * {d}" for d in DIMENSIONS]])
+MOMENTUM = f"""series AS (SELECT client_id, row_number() OVER (PARTITION BY client_id ORDER BY session_number) AS n, tpi AS y, count(*) OVER (PARTITION BY client_id) AS total FROM idx), {_LAST6},{sql_trend('o', 'series', '(n - 1)', 'o_')},{sql_trend('rc', 'last6', _X6, 'r_')},
+vol AS (SELECT client_id, max(total) AS n, max(y) - min(y) AS spread, coalesce(stddev_samp(y), 0.0) AS vol, avg(y) FILTER (n > total - 3) AS r3 FROM last6 GROUP BY client_id),
+mom AS (SELECT client_id, n, CASE WHEN n < 3 THEN 'insufficient_data'
+    WHEN (r_slope > 1.0 AND r_p < 0.20) OR (r_slope > 0.6 AND o_slope > 0.4 AND o_p < 0.15) THEN 'gaining'
+    WHEN (-r_slope > 1.0 AND r_p < 0.20) OR (-r_slope > 0.6 AND -o_slope > 0.4 AND o_p < 0.15) THEN 'regressing'
+    WHEN spread < 6.0 OR abs(r_slope) <= 0.25 THEN 'plateauing' ELSE 'steady' END AS state,
+  CASE WHEN n >= 3 THEN {R('r3', 2)} END AS recent_mean, CASE WHEN n >= 3 THEN {R('vol', 2)} END AS volatility, r_slope, o_slope
+FROM vol JOIN o USING (client_id) JOIN rc USING (client_id))"""
 SQL = {
     "parsed_turns": f"WITH {PARSE} SELECT * FROM trn",
     "parse_info": f"""WITH {PARSE}, ig AS (SELECT client_id, session_number, count(*) FILTER (turn = 0) AS n_ignored FROM ld GROUP BY ALL),
@@ -132,15 +140,7 @@ SELECT ig.*, coalesce(n_labels, 0) AS n_labels, coalesce(inferred, false) AS inf
   CASE WHEN n_client_turns < 10 THEN 'few client turns' END, CASE WHEN provisional THEN 'baseline still provisional' END) AS notes FROM idx""",
     "absolute_scores": f"""WITH {_FEAT} SELECT client_id, session_number, {R(f'greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100.0::DOUBLE * ({_abs})))', 2)} AS absolute_tpi, {_conf('true')} AS absolute_confidence,
   {', '.join(f'{R(f"100.0::DOUBLE * {WEIGHTS[d]}::DOUBLE * {d}", 3)} AS part_{d}, {R(f"({d} - 0.5::DOUBLE) / {COHORT_SD[d]}::DOUBLE", 4)} AS abs_z_{d}' for d in DIMENSIONS)} FROM feat""",
-    "index_momentum": f"""WITH {_IDX},
-series AS (SELECT client_id, row_number() OVER (PARTITION BY client_id ORDER BY session_number) AS n, tpi AS y, count(*) OVER (PARTITION BY client_id) AS total FROM idx), {_LAST6},{sql_trend('o', 'series', '(n - 1)', 'o_')},{sql_trend('rc', 'last6', _X6, 'r_')},
-vol AS (SELECT client_id, max(total) AS n, max(y) - min(y) AS spread, coalesce(stddev_samp(y), 0.0) AS vol, avg(y) FILTER (n > total - 3) AS r3 FROM last6 GROUP BY client_id)
-SELECT client_id, n, CASE WHEN n < 3 THEN 'insufficient_data'
-    WHEN (r_slope > 1.0 AND r_p < 0.20) OR (r_slope > 0.6 AND o_slope > 0.4 AND o_p < 0.15) THEN 'gaining'
-    WHEN (-r_slope > 1.0 AND r_p < 0.20) OR (-r_slope > 0.6 AND -o_slope > 0.4 AND o_p < 0.15) THEN 'regressing'
-    WHEN spread < 6.0 OR abs(r_slope) <= 0.25 THEN 'plateauing' ELSE 'steady' END AS state,
-  CASE WHEN n >= 3 THEN {R('r3', 2)} END AS recent_mean, CASE WHEN n >= 3 THEN {R('vol', 2)} END AS volatility, r_slope, o_slope
-FROM vol JOIN o USING (client_id) JOIN rc USING (client_id)""",
+    "index_momentum": f"WITH {_IDX}, {MOMENTUM} SELECT * FROM mom",
     "speaker_runs": """WITH u AS (SELECT DISTINCT * FROM utterances_raw), s AS (SELECT session_id, idx, coalesce(speaker, 'client') AS speaker, text FROM u WHERE ltrim(rtrim(text, ' '), ' ') <> ''),
 n AS (SELECT *, coalesce((lag(speaker) OVER (PARTITION BY session_id ORDER BY idx) <> speaker)::INT, 1) AS f FROM s), r AS (SELECT *, sum(f) OVER (PARTITION BY session_id ORDER BY idx) AS turn_no FROM n)
 SELECT session_id, turn_no, min(speaker) AS speaker, count(*) AS n_lines, string_agg(text, ' ' ORDER BY idx, text) AS text FROM r GROUP BY session_id, turn_no""",

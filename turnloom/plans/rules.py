@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnloom.operators import rules as K
+from turnloom.operators import trajectory as T
 from turnloom.operators.index import baselines
 from turnloom.operators.score import DIMENSIONS
 from turnloom.plans.dyads import _profile, _PROFILE
 from turnloom.plans.fixtures import corpus_turns, sql_round as R
-from turnloom.plans.flagship import _BASE, _IDX, _features, _indexed
+from turnloom.plans.flagship import MOMENTUM, _BASE, _IDX, _features, _indexed
 
 
 def goal_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +28,8 @@ def dimension_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def early_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.early_warning(_indexed(spark, sf_dir))
+    x = _indexed(spark, sf_dir)
+    return K.early_warning(x, T.momentum(T.positions(x, "client_id", "session_number", "tpi"), "client_id"))
 
 
 def next_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +58,13 @@ l AS (UNPIVOT (SELECT * FROM n WHERE c >= 3) ON {', '.join(DIMENSIONS)} INTO NAM
 b AS ({' UNION ALL '.join(f"SELECT client_id, '{d}' AS dimension, mu_{d} AS m, sd_{d} AS s, {i} AS o FROM base" for i, d in enumerate(DIMENSIONS))}),
 a AS (SELECT client_id, dimension, max(c) AS n_sessions, {_M4('i > c - 3')} AS r, {_M4('i <= greatest(2, c // 3)')} AS e, sum((x < m)::INT) AS sessions_below, any_value(m) AS m, any_value(s) AS s, any_value(o) AS o FROM l JOIN b USING (client_id, dimension) GROUP BY client_id, dimension)
 SELECT client_id, dimension, n_sessions, {R('(r - m) / s', 3)} AS recent_z, {R('r - e', 4)} AS drift, sessions_below, row_number() OVER (PARTITION BY client_id ORDER BY {R('(r - m) / s', 3)}, o) AS rank FROM a""",
-    "early_warnings": f"""WITH {_IDX}, n AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY session_number DESC) AS back, count(*) OVER (PARTITION BY client_id) AS c FROM idx),
+    "early_warnings": f"""WITH {_IDX}, {MOMENTUM}, n AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY session_number DESC) AS back, count(*) OVER (PARTITION BY client_id) AS c FROM idx),
 s AS (SELECT client_id, max(c) AS n, max(tpi) FILTER (back = 1) AS y1, max(tpi) FILTER (back = 3) AS y3, max(tpi) FILTER (back <= 4) - min(tpi) FILTER (back <= 4) AS spread, max(hopelessness) FILTER (back = 1) AS hope, max(rumination) FILTER (back = 1) AS rum,
   max(n_client_words) FILTER (back = 1) AS words, avg(n_client_words) FILTER (back > 1) AS prior FROM n WHERE c >= 4 GROUP BY client_id),
-r AS (SELECT client_id, n, {R('''least(1.0::DOUBLE, CASE WHEN (y1 - y3) / 2 < -2.0 THEN 0.35::DOUBLE WHEN (y1 - y3) / 2 < -0.8::DOUBLE THEN 0.18::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN y1 < 44 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END
-    + CASE WHEN n >= 5 AND spread > 18 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN hope > 0.3::DOUBLE THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN rum > 0.3::DOUBLE THEN 0.12::DOUBLE ELSE 0.0::DOUBLE END
-    + CASE WHEN prior > 0 AND words < 0.6::DOUBLE * prior THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END)''', 3)} AS score FROM s)
+w AS (SELECT s.client_id, s.n, [{{'c': (y1 - y3) / 2 < -2.0, 'k': 'falling', 'v': 0.35::DOUBLE}}, {{'c': (y1 - y3) / 2 < -0.8::DOUBLE AND (y1 - y3) / 2 >= -2.0, 'k': 'drifting_down', 'v': 0.18::DOUBLE}}, {{'c': y1 < 44, 'k': 'below_baseline', 'v': 0.2::DOUBLE}},
+  {{'c': s.n >= 5 AND s.spread > 18, 'k': 'wide_spread', 'v': 0.15::DOUBLE}}, {{'c': hope > 0.3::DOUBLE, 'k': 'hopelessness', 'v': 0.25::DOUBLE}}, {{'c': rum > 0.3::DOUBLE, 'k': 'rumination', 'v': 0.12::DOUBLE}},
+  {{'c': prior > 0 AND words < 0.6::DOUBLE * prior, 'k': 'fewer_words', 'v': 0.2::DOUBLE}}, {{'c': s.n >= 6 AND m.state = 'plateauing', 'k': 'plateau', 'v': 0.1::DOUBLE}}] AS hits FROM s LEFT JOIN mom m USING (client_id)),
+r AS (SELECT client_id, n, {R('least(1.0::DOUBLE, list_reduce(list_transform(hits, lambda h: CASE WHEN h.c THEN h.v ELSE 0.0::DOUBLE END), lambda a, b: a + b))', 3)} AS score, array_to_string(list_transform(list_filter(hits, lambda h: h.c), lambda h: h.k), ';') AS reasons FROM w)
 SELECT *, CASE WHEN score >= 0.55::DOUBLE THEN 'elevated' WHEN score >= 0.3::DOUBLE THEN 'watch' ELSE 'none' END AS level FROM r""",
     "next_moves": f"""{_PROFILE}, now AS (SELECT DISTINCT transcript_id, CASE WHEN 40 + transcript_id % 21 <= 45 THEN 'stuck' WHEN 40 + transcript_id % 21 >= 56 THEN 'moving' ELSE 'middling' END AS state FROM corpus),
 o1 AS (SELECT now.transcript_id, now.state, intervention AS move, mean_lift AS score, n FROM now JOIN prof USING (transcript_id, state) WHERE n >= 4),

@@ -31,10 +31,6 @@ def utterance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_utterances(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")).select("doc_id", F.col("n_words").cast("double").alias("n_words"), *FEATURES)
-
-
-def all_document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of documents, whatever its stored label: the label is null, wrong or in capitals at times, and scoring does not need it."""
     return score_utterances(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("n_words").cast("double").alias("n_words"), *FEATURES)
 
@@ -57,7 +53,7 @@ def prev_utterance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "token_counts": token_counts, "lexicon_totals": lexicon_totals, "utterance_scores": utterance_scores, "document_scores": document_scores,
-    "all_document_scores": all_document_scores, "ml_vector": ml_vector,
+    "ml_vector": ml_vector,
     "session_vectors": session_vectors, "driver_turns": driver_turns, "prev_utterance": prev_utterance,
 }
 
@@ -73,8 +69,7 @@ SQL = {
     "token_counts": f"WITH {CORPUS} SELECT transcript_id, idx, len(regexp_extract_all(lower(text), '[a-z'']+')) AS n_tokens, {sql_space_words('text')} AS n_space_words FROM corpus",
     "lexicon_totals": f"WITH {CORPUS},{sql_scored('corpus')} SELECT transcript_id, {', '.join(f'sum(c_{n}) AS c_{n}' for n in [*TERMS, 'mixed', 'distance'])} FROM scored_c GROUP BY transcript_id",
     "utterance_scores": f"{_CLIENT} SELECT transcript_id, idx, n_words, {', '.join(FEATURES)}, process_mean FROM scored",
-    "document_scores": f"WITH d AS (SELECT doc_id, text FROM documents WHERE lang = 'en'),{sql_scored('d')} SELECT doc_id, n_words, {', '.join(FEATURES)} FROM scored",
-    "all_document_scores": f"WITH d AS (SELECT doc_id, text FROM documents),{sql_scored('d')} SELECT doc_id, n_words, {', '.join(FEATURES)} FROM scored",
+    "document_scores": f"WITH d AS (SELECT doc_id, text FROM documents),{sql_scored('d')} SELECT doc_id, n_words, {', '.join(FEATURES)} FROM scored",
     "ml_vector": f"{_CLIENT} SELECT transcript_id, idx, {', '.join(f'{f} AS v_{i}' for i, f in enumerate(FEATURES, 1))}, least(1.0::DOUBLE, n_words / 60.0::DOUBLE) AS v_11, contains(text, '?')::INT::DOUBLE AS v_12 FROM scored",
     "session_vectors": f"{_CLIENT} {SESSION_VECTORS}",
     "driver_turns": f"""{_CLIENT}, r AS (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY process_mean DESC, idx) AS hi,

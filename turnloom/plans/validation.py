@@ -118,6 +118,11 @@ def weight_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(w.items()), "dimension string, weight double")
 
 
+def weight_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cross products that ``weight_refit`` solves."""
+    return V.cross_products(_directional(spark, sf_dir).withColumn("target", -F.col("is_change")), [*DIMENSIONS, "target"])
+
+
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda v: F.sum(F.when(F.col("predicted") == v, 1).otherwise(0))
     return _called(spark, sf_dir).groupBy("transcript_id").agg(one("change").alias("n_change"), one("sustain").alias("n_sustain"))
@@ -138,7 +143,7 @@ def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "measure_agreement": measure_agreement, "measure_by_session": measure_by_session, "measure_lead_lag": measure_lead_lag, "label_means": label_means, "label_contrast": label_contrast, "rank_auc": rank_auc,
     "conversation_validity": conversation_validity, "speech_rate": speech_rate, "rate_within": rate_within, "confusion_long": confusion, "metrics_by_class": metrics_by_class, "metrics_overall": metrics_overall,
-    "class_weights": balanced_weights, "weight_refit": weight_refit, "change_ratio": change_ratio, "readability": readability,
+    "class_weights": balanced_weights, "weight_refit": weight_refit, "weight_products": weight_products, "change_ratio": change_ratio, "readability": readability,
 }
 
 _pear = lambda x, y: R(f"CASE WHEN count(*) >= 3 AND var_pop({x}) * var_pop({y}) > 1e-24 THEN covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y})) END", 4)
@@ -186,6 +191,8 @@ SELECT transcript_id, idx, {R('CASE WHEN coalesce(s, 0) > 1e-12 THEN (rate - m)
     "confusion_long": f"{_CONF} SELECT actual, predicted, n, {R('coalesce(n / nullif(sum(n) OVER (PARTITION BY actual), 0), 0.0)', 4)} AS row_share FROM conf",
     "metrics_by_class": f"{_CLS} SELECT * FROM met",
     "metrics_overall": f"""{_CLS} SELECT (SELECT sum(n) FROM conf) AS n, {R('(SELECT sum(n) FILTER (actual = predicted) / sum(n) FROM conf)', 6)} AS accuracy, {R('avg(f1)', 6)} AS macro_f1, {R('avg(precision)', 6)} AS macro_precision, {R('avg(recall)', 6)} AS macro_recall, {R('sum(f1 * support) / sum(support)', 6)} AS weighted_f1 FROM met""",
+    "weight_products": f"{_DIR}, x AS (SELECT {', '.join(DIMENSIONS)}, -is_change AS target FROM dir) "
+    + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, {R(f'covar_pop({a}, {b}) / sqrt(var_pop({a}) * var_pop({b}))', 6)} AS corr FROM x" for i, a in enumerate([*DIMENSIONS, "target"]) for b in [*DIMENSIONS, "target"][i:]),
     "class_weights": f"{_CALLED} SELECT actual AS label, count(*) AS n, {R('sum(count(*)) OVER () / (count(*) OVER () * count(*))', 6)} AS weight FROM called GROUP BY actual",
     "change_ratio": f"""{_CNT}, g AS (SELECT i / 400.0::DOUBLE AS p FROM range(401) t(i)),
 ll AS (SELECT cnt.*, g.p, n_change * ln({_theta}) + n_sustain * ln(1 - {_theta}) AS ll FROM cnt, g WHERE n_change + n_sustain > 0),
