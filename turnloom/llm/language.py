@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.llm.transcript import parse, says_something, without_hesitation, without_notes
+from turnloom.llm.transcript import parse, without_hesitation, without_notes, words_said
 from turnloom.session import spread
 
 LANGUAGES = ("en", "es", "fr", "de", "pt", "hi", "ta")
@@ -43,16 +43,18 @@ def declared(label: Column) -> Column:
     return out
 
 
-_NO_WORD = re.compile(r"\S*[\d@_<>]\S*")
+_NO_WORD = re.compile(r"[\d@_<>]")
 
 
 def lettered(sentence: str) -> str:
     """The sentence without numbers, addresses and codes, which belong to no language."""
-    return " ".join(_NO_WORD.sub(" ", sentence).split()).lower()
+    words = sentence.lower().split()
+    return " ".join([w for w in words if not _NO_WORD.search(w)] if _NO_WORD.search(sentence) else words)
 
 
 def sentences(text: str) -> list[str]:
-    return [s for s in _SENTENCE_END.split(text) if says_something(s)]
+    """Sentences of a text without notes in which something is said."""
+    return [s for s in _SENTENCE_END.split(text) if words_said(s)]
 
 
 def spoken(transcript: str) -> list[str]:
@@ -133,10 +135,11 @@ class ByteContexts:
         place = np.arange(len(stream)) - start
         bits = np.zeros((len(stream), len(self.languages)), np.float32)
         open_ = np.flatnonzero(place > 0)  # the first line end only gives context
+        keys = self._keys(stream, self.order)
         for k in range(self.order, -1, -1):
             can = place[open_] >= k
             rest, now = open_[~can], open_[can]
-            key = self._keys(stream, k)[now]
+            key = keys[now] & np.uint64((1 << (8 * (k + 1))) - 1)  # the older bytes of the context are dropped
             at = np.searchsorted(self.pairs[k], key)
             at[at == len(self.pairs[k])] = 0
             hit = self.pairs[k][at] == key
@@ -167,13 +170,17 @@ class Identifier:
 
     def bits(self, texts: list[str]) -> np.ndarray:
         """Code lengths with a cache of sentences met before; the cache only saves time and is emptied when large."""
+        self.prepare(texts)
+        return np.array([self.cache[t] for t in texts])
+
+    def prepare(self, texts: list[str]) -> None:
+        """Works out the code lengths of many sentences in a few passes."""
         fresh = [t for t in dict.fromkeys(texts) if t not in self.cache]
-        if len(self.cache) > 400_000:
+        if fresh and len(self.cache) > 400_000:
             self.cache.clear()
             fresh = list(dict.fromkeys(texts))
         for at in range(0, len(fresh), 4096):
             self.cache.update(zip(fresh[at : at + 4096], self.model.code_lengths(fresh[at : at + 4096])))
-        return np.array([self.cache[t] for t in texts])
 
     def segments(self, texts: list[str]) -> list[tuple[int, int, str, float]]:
         """``(first, last, language, confidence)`` of the stretches of consecutive sentences in one language.
@@ -196,8 +203,8 @@ class Identifier:
         edges = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True])))
         out = []
         for a, b in zip(edges[:-1], edges[1:]):
-            total = bits[a:b].sum(axis=0, keepdims=True)
-            out.append((int(a), int(b) - 1, self.model.languages[own[a]], float(_confidence(total)[0, own[a]])))
+            both = bits[a:b].sum(axis=0, keepdims=True)
+            out.append((int(a), int(b) - 1, self.model.languages[own[a]], float(_confidence(both)[0, own[a]])))
         return out
 
 
@@ -244,12 +251,14 @@ def labelled_sample(df: DataFrame, text: str, label: str, per_language: int) ->
 def _segments(batches: Iterator[pd.DataFrame], make) -> Iterator[pd.DataFrame]:
     ident: Identifier = make()
     for pdf in batches:
-        rows = []
-        for i, text in zip(pdf["id"].tolist(), pdf["t"]):
-            said = spoken(text)
-            for n, (a, b, lang, conf) in enumerate(ident.segments(said), 1):
-                rows.append((i, n, lang, conf, b - a + 1, " ".join(said[a : b + 1])))
-        yield pd.DataFrame(rows, columns=["id", "segment_no", "lang", "confidence", "n_sentences", "text"])
+        rows, ids, declared_as, texts = [], pdf["id"].tolist(), pdf["declared"].tolist(), list(pdf["t"])
+        for at in range(0, len(ids), 256):
+            said = [spoken(t) for t in texts[at : at + 256]]
+            ident.prepare([s for x in said for s in x])
+            for i, d, own in zip(ids[at:], declared_as[at:], said):
+                for n, (a, b, lang, conf) in enumerate(ident.segments(own), 1):
+                    rows.append((i, d, n, lang, conf, b - a + 1, " ".join(own[a : b + 1])))
+        yield pd.DataFrame(rows, columns=["id", "declared", "segment_no", "lang", "confidence", "n_sentences", "text"])
 
 
 def language_segments(
@@ -259,18 +268,19 @@ def language_segments(
 
     The context trees are fitted on at most ``per_language`` documents a language (a bounded, documented sample) and sent to the tasks; all documents are
     scored whole. Null and blank texts, and those with nothing spoken, give no rows; a null label stays null in ``declared``; repeated rows count
-    once; an empty table gives no rows; other columns are not looked at.
+    once; a document with several different texts is read from the longest one (ties: the last in order), and of several labels the first in order holds; an empty table gives no rows;
+    other columns are not looked at. A text in none of the languages gets the one that codes it best.
     """
     sample = labelled_sample(df, text, label, per_language)
     shared = df.sparkSession.sparkContext.broadcast(train(sample, order))
-    rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.col(label).alias("declared_as")).where("id is not null and trim(t) <> ''")
+    rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), declared(F.col(label)).alias("declared")).where("id is not null and trim(t) <> ''")
     id_type = rows.schema["id"].dataType.simpleString()
-    out = spread(rows.select("id", "t")).mapInPandas(
+    one = spread(rows, "id").groupBy("id").agg(F.max(F.struct(F.length("t").alias("n"), "t")).alias("m"), F.min("declared").alias("declared"))
+    out = one.select("id", "declared", "m.t").mapInPandas(
         lambda it: _segments(it, lambda: Identifier(shared.value)),
-        f"id {id_type}, segment_no int, lang string, confidence double, n_sentences int, text string",
-    ).dropDuplicates(["id", "segment_no"])
-    names = rows.groupBy("id").agg(F.min(declared(F.col("declared_as"))).alias("declared"))
-    return out.join(names, "id").select(F.col("id").alias(doc_id), "declared", "segment_no", "lang", "confidence", "n_sentences", "text")
+        f"id {id_type}, declared string, segment_no int, lang string, confidence double, n_sentences int, text string",
+    )
+    return out.withColumnRenamed("id", doc_id)
 
 
 def document_languages(segments: DataFrame, doc_id: str = "session_id") -> DataFrame:

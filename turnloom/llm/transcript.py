@@ -22,15 +22,15 @@ HESITATION_WORDS = "um umm uh uhh uhm er err erm hm hmm mm mmm mhm mhmm ah eh em
 LINE_END = re.compile(r"\r?\n")
 _CLOCK = r"(?:\d{1,3}:)?\d{1,2}:\d{2}(?:[.,]\d{1,3})?"
 CUE_TIMES = re.compile(rf"^\s*({_CLOCK})\s*-->\s*({_CLOCK}).*$")
-CUE_NUMBER = re.compile(r"^\s*\d{1,6}\s*$")
 _STAMP = re.compile(rf"^\s*(?:\[\s*({_CLOCK})\s*\]|\(\s*({_CLOCK})\s*\)|({_CLOCK})(?!\d|\]|\)|[.,:]\d)(?:\s*[-–]\s(?=\S))?)\s*")
 _FRAMED = re.compile(r"^\s*([-–—=~_*#]{2,})[^\n]*?[-–—=~_*#]{2,}\s*$")
 _BULLET = re.compile(r"^\s*[-–•]\s+(?=\S)")
 _VOICE = re.compile(r"^\s*<v(?:\.[\w.]+)?\s+([^>]{1,40})>\s*")
 _BRACKET = re.compile(r"^\s*\[([^\]\n]{1,30})\]\s*(?:[:：]|[-–]\s)?\s*")
 _PLAIN = re.compile(r"^\s*([^\s:：\t][^:：\t\n]{0,29}?)\s*(?:[:：]|\t|\s[-–—](?:\s|$))\s*")
-_NOTES = re.compile(r"\(\([^()\n]{0,80}\)\)?|\[[^\[\]]{0,80}\]|\{[^{}]{0,80}\}|\([^()]{0,80}\)|\*[^*\n]{1,60}\*|<[^<>@]{1,60}>|[♪♫♬]")
-_SPACES = re.compile(r"\s+")
+_NOTES = re.compile(r"\(\([^()\n]*\)\)?|\[[^\[\]]*\]|\{[^{}]*\}|\([^()]*\)|\*(?=\S)[^*\n]*\*|<(?=\S)[^<>@]*>|[♪♫♬]")
+_NOTE_SIGNS = "([{*<♪♫♬"
+_CLOCKS = re.compile(rf"(?<!\d){_CLOCK}(?!\d)")
 _WORDS = re.compile(r"[^\W_]+(?:[ऀ-෿̀-ͯ]+[^\W_]*)*")
 _HESITATION = re.compile(
     r"(?<![\w'’-])(?:" + "|".join(sorted(map(re.escape, set(HESITATION_WORDS) - {"este", "tipo", "em", "hum"}), key=len, reverse=True)) + r")(?![\w'’-])(?:\s*-(?=\s))?[,.…]*",
@@ -38,6 +38,7 @@ _HESITATION = re.compile(
 )
 _LOOSE_HESITATION = re.compile(r"(?<![\w'’-])(?:este|tipo|em|hum|you know),(?=\s)", re.IGNORECASE)
 _HESITATION_SET = frozenset(HESITATION_WORDS)
+_BETWEEN = ",.…?!;:\"“”()[]—–/*"
 
 
 def _edits(a: str, b: str) -> int:
@@ -87,7 +88,9 @@ def _seconds(clock: str) -> float:
 
 def strip_stamps(line: str) -> tuple[str, float | None]:
     """The line without the stamps and the list dash in front, and the first stamp in seconds."""
-    at = None
+    at, first = None, line.lstrip()[:1]
+    if not first.isdecimal() and first not in "[(-–•":
+        return line, at
     while True:
         m = _STAMP.match(line)
         if m and (m[1] or m[2] or line[m.end() - 1 : m.end()].isspace() or m.end() == len(line)):
@@ -116,17 +119,38 @@ def split_label(line: str, extra: frozenset[str] = frozenset()) -> tuple[str, st
 
 def without_notes(text: str) -> str:
     """Text without sound notes, stamps in brackets and music signs."""
-    return _SPACES.sub(" ", _NOTES.sub(" ", text)).strip()
+    if any(c in text for c in _NOTE_SIGNS):
+        text = _NOTES.sub(" ", text)
+    return " ".join(text.split())
 
 
 def without_hesitation(text: str) -> str:
-    return _SPACES.sub(" ", _LOOSE_HESITATION.sub(" ", _HESITATION.sub(" ", text))).strip()
+    plain = text.casefold()
+    for c in _BETWEEN:
+        plain = plain.replace(c, " ")
+    if not _HESITATION_SET.isdisjoint(plain.split()):
+        text = _HESITATION.sub(" ", text)
+        text = _LOOSE_HESITATION.sub(" ", text)
+    elif "," in text and "know," in text.casefold():
+        text = _LOOSE_HESITATION.sub(" ", text)
+    return " ".join(text.split())
+
+
+def words_said(text: str) -> bool:
+    """Whether a word is left of a text without notes once stamps, cue numbers and hesitation are gone."""
+    numbers = False
+    for m in _WORDS.finditer(text):
+        word = m.group()
+        if word[0].isdecimal():
+            numbers = True
+        elif word.casefold() not in _HESITATION_SET:
+            return True
+    return numbers and any(w.casefold() not in _HESITATION_SET for w in _WORDS.findall(_CLOCKS.sub(" ", text)))
 
 
 def says_something(text: str) -> bool:
     """Whether a word is left once notes, stamps, cue numbers and hesitation are gone."""
-    rest = re.sub(rf"(?<!\d){_CLOCK}(?!\d)", " ", without_notes(text))
-    return any(w.casefold() not in _HESITATION_SET for w in _WORDS.findall(rest))
+    return words_said(without_notes(text))
 
 
 @dataclass
@@ -168,9 +192,10 @@ def _entries(lines: list[str], extra: frozenset[str]) -> tuple[list[Entry], list
     header: list[str] = []
     cue_start = cue_end = None
     for no, line in enumerate(lines, 1):
-        if not line.strip() or CUE_NUMBER.match(line) or _FRAMED.match(line):
+        bare = line.strip()
+        if not bare or bare.isdecimal() and len(bare) <= 6 or bare[0] in "-–—=~_*#" and _FRAMED.match(line):
             continue
-        if m := CUE_TIMES.match(line):
+        if "-->" in line and (m := CUE_TIMES.match(line)):
             cue_start, cue_end = _seconds(m[1]), _seconds(m[2])
             continue
         bare, at = strip_stamps(line)

@@ -8,10 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.llm.transcript import Entry, label_of, parse, says_something, split_label, strip_stamps, without_hesitation, without_notes
-from turnloom.session import cut, spread
+from turnloom.llm.transcript import Entry, label_of, parse, split_label, strip_stamps, without_hesitation, without_notes, words_said
+from turnloom.session import cut, hot_join, spread
 
-ENTRY = "line_no int, key string, role string, start double, says boolean, asks boolean, text string"
 ROW = "key string, role string, start double, says boolean, asks boolean, text string"
 MIN_OVERLAP = 3
 
@@ -58,7 +57,7 @@ def rolls_on(before: Entry | None, entry: Entry) -> bool:
 
 
 def clean_entries(text: str) -> list[tuple]:
-    """Rows of ENTRY for one transcript; words of rolling captions are removed from the later of two directly neighbouring entries.
+    """``(line_no, key, role, start, says, asks, text)`` of one transcript; words of rolling captions are removed from the later of two directly neighbouring entries.
 
     Whether an entry says or asks something is judged before that, so none is dropped for it; an entry without a time that only repeats keeps its words.
     """
@@ -70,20 +69,88 @@ def clean_entries(text: str) -> list[tuple]:
         if k == len(words) and e.start is None:
             k = 0
         before, last = e, words
-        out.append((e.line_no, e.key, e.role, e.start, says_something(said), "?" in said or "？" in said, without_hesitation(" ".join(words[k:]))))
+        out.append((e.line_no, e.key, e.role, e.start, words_said(said), "?" in said or "？" in said, without_hesitation(" ".join(words[k:]) if k else said)))
     return out
 
 
-def _transcript_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["sid", "line_no", "key", "role", "start", "says", "asks", "text"]
-    for pdf in batches:
-        yield pd.DataFrame([(s, *row) for s, t in zip(pdf["sid"], pdf["t"]) for row in clean_entries(t)], columns=names).astype({"start": "float64"})
+def roles_of(entries: list[tuple]) -> dict[str, str]:
+    """The role of every label of one transcript, by the rule of ``speaker_roles``."""
+    role: dict[str, str | None] = {}
+    says: dict[str, int] = {}
+    asks: dict[str, int] = {}
+    for _, key, named, _, says_it, asks_it, _ in entries:
+        role[key] = max(filter(None, (role.get(key), named)), default=None)
+        says[key], asks[key] = says.get(key, 0) + says_it, asks.get(key, 0) + asks_it
+    rate = {k: asks[k] / max(1, says[k]) for k in role}
+    mean = {r: sum(own) / len(own) for r in ("therapist", "client") if (own := [rate[k] for k in role if role[k] == r])}
+    first: dict[str, int] = {}
+    for e in entries:
+        first[e[1]] = min(first.get(e[1], e[0]), e[0])
+    guess = {}
+    if len(mean) == 2:
+        guess = {k: "therapist" if abs(rate[k] - mean["therapist"]) < abs(rate[k] - mean["client"]) else "client" for k in role}
+    elif mean:
+        guess = dict.fromkeys(role, "client" if "therapist" in mean else "therapist")
+    elif role:
+        most = min(role, key=lambda k: (-rate[k], first[k]))
+        guess = {k: "therapist" if k == most else "client" for k in role}
+    return {k: role[k] or guess[k] for k in role}
+
+
+def transcript_turns(text: str, pause: float | None = None) -> list[tuple[int, str, str]]:
+    """``(line_no, speaker, text)`` of one transcript: entries without content dropped, neighbours of one speaker joined, line_no of the first entry.
+
+    Entries come in the order of the sweep; ``pause`` also starts a new turn where the starts of neighbouring entries of one speaker lie further apart, in seconds.
+    """
+    entries = clean_entries(text)
+    roles, turns, start = roles_of(entries), [], None
+    for line_no, key, _, at, says, _, said in entries:
+        if not says:
+            continue
+        far = pause is not None and at is not None and start is not None and at - start > pause
+        if turns and turns[-1][1] == roles[key] and not far:
+            turns[-1][2].append(said)
+        else:
+            turns.append((line_no, roles[key], [said]))
+        start = at
+    return [(n, who, " ".join(filter(None, parts))) for n, who, parts in turns]
+
+
+def _pauses(text: str) -> list[float]:
+    """Differences between the starts of neighbouring entries of one speaker."""
+    entries = [e for e in clean_entries(text) if e[4]]
+    roles = roles_of(entries)
+    return [b[3] - a[3] for a, b in zip(entries, entries[1:]) if a[3] is not None and b[3] is not None and roles[a[1]] == roles[b[1]]]
+
+
+def _each(make, columns: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(s, *row) for s, t in zip(pdf["sid"].tolist(), pdf["t"]) for row in make(t)], columns=["sid", *columns])
+
+    return run
 
 
-def entries_of_transcripts(df: DataFrame, session: str = "session_id", text: str = "transcript") -> DataFrame:
-    """``(sid, ENTRY)``: labelled lines with what follows them up to the next label."""
+def _transcripts(df: DataFrame, session: str, text: str) -> DataFrame:
+    """``(sid, t)``: one text per session, the longest (ties: the last in order) where it has several different ones."""
     rows = df.select(F.col(session).alias("sid"), F.col(text).alias("t")).where("sid is not null and t is not null")
-    return spread(rows).mapInPandas(_transcript_entries, f"sid {rows.schema['sid'].dataType.simpleString()}, {ENTRY}").dropDuplicates(["sid", "line_no"])
+    return spread(rows, "sid").groupBy("sid").agg(F.max(F.struct(F.length("t").alias("n"), "t")).alias("m")).select("sid", "m.t")
+
+
+def turns_of_transcripts(df: DataFrame, session: str = "session_id", text: str = "transcript", pause: float | None = None, keep_text: bool = True) -> DataFrame:
+    """``(sid, line_no, speaker[, text])`` of every transcript. A transcript is one row, so all of it is done where it is read; texts are shuffled once, to count repeated rows once."""
+    rows = _transcripts(df, session, text)
+    sid = rows.schema["sid"].dataType.simpleString()
+    if keep_text:
+        return rows.mapInPandas(_each(lambda t: transcript_turns(t, pause), ["line_no", "speaker", "text"]), f"sid {sid}, line_no int, speaker string, text string")
+    return rows.mapInPandas(_each(lambda t: [x[:2] for x in transcript_turns(t, pause)], ["line_no", "speaker"]), f"sid {sid}, line_no int, speaker string")
+
+
+def calibrated_pause(df: DataFrame, session: str = "session_id", text: str = "transcript", quantile: float = 0.99) -> float | None:
+    """The pause between neighbouring starts of one speaker that ``quantile`` of all such pauses of all transcripts stay under; null where none has times."""
+    rows = _transcripts(df, session, text)
+    pauses = rows.mapInPandas(_each(lambda t: [(p,) for p in _pauses(t)], ["pause"]), f"sid {rows.schema['sid'].dataType.simpleString()}, pause double")
+    return pauses.agg(F.percentile_approx("pause", quantile, 10_000)).first()[0]
 
 
 def _row(label: pd.Series, text: pd.Series) -> pd.DataFrame:
@@ -97,7 +164,7 @@ def _row(label: pd.Series, text: pd.Series) -> pd.DataFrame:
             if inner[0] == found[0] or inner[1] is not None and inner[1] == found[1]:
                 bare = inner[2]
         rest = without_notes(bare)
-        out.append((*found, at, says_something(rest), "?" in rest or "？" in rest, without_hesitation(rest)))
+        out.append((*found, at, words_said(rest), "?" in rest or "？" in rest, without_hesitation(rest)))
     return pd.DataFrame(out, columns=["key", "role", "start", "says", "asks", "text"]).astype({"start": "float64"})
 
 
@@ -121,7 +188,7 @@ def _carried(df: DataFrame, value: Column, order: str, block: int, inclusive: bo
 def entries_of_rows(
     df: DataFrame, session: str = "session_id", number: str = "idx", label: str = "raw_label", text: str = "text", block: int = 4096
 ) -> DataFrame:
-    """``(sid, ENTRY)`` from rows already cut: a labelled row with the unlabelled rows after it; line_no is the number of the labelled row."""
+    """``(sid, line_no, key, role, start, says, asks, text)`` from rows already cut: a labelled row with the unlabelled rows after it; line_no is the number of the labelled row."""
     rows = df.select(F.col(session).alias("sid"), F.col(number).cast("int").alias("n"), F.col(label).alias("l"), F.col(text).alias("t"))
     rows = rows.where("sid is not null and n is not null").distinct()
     own = cut(spread(rows).select("sid", "n", F.pandas_udf(_row, ROW)("l", "t").alias("r")).select("sid", "n", "r.*"))
@@ -163,18 +230,12 @@ def speaker_roles(entries: DataFrame) -> DataFrame:
 
 
 def _said(entries: DataFrame) -> DataFrame:
-    roles = speaker_roles(entries)
-    said = entries.where("says").join(roles, ["sid", "key"])
+    label = F.concat_ws("\u0001", F.col("sid").cast("string"), "key")
+    roles = speaker_roles(entries).select(label.alias("label"), "speaker")
+    said = hot_join(entries.where("says").withColumn("label", label), roles, "label")
     return said.select("sid", "line_no", "speaker", *[c for c in ("start", "text") if c in entries.columns])
 
 
-def calibrated_pause(entries: DataFrame, quantile: float = 0.99) -> float | None:
-    """The pause between neighbouring starts of one speaker that ``quantile`` of all such pauses in the corpus stay under."""
-    said = _carried(_said(entries), F.struct("speaker", "start"), "line_no", 4096, inclusive=False)
-    pauses = said.where("carried.speaker = speaker").select((F.col("start") - F.col("carried.start")).alias("p"))
-    return pauses.agg(F.percentile_approx("p", quantile, 10_000)).first()[0]
-
-
 def speaker_turns(entries: DataFrame, block: int = 4096, pause: float | None = None) -> DataFrame:
     """``(sid, line_no, speaker, text)``: entries without content dropped, neighbours of one speaker joined, line_no of the first entry.
 
@@ -200,12 +261,13 @@ def turn_heads(entries: DataFrame, block: int = 4096) -> DataFrame:
     return before.where("carried is null or carried <> speaker").select("sid", "line_no", "speaker")
 
 
-def session_entries(transcripts: DataFrame, rows: DataFrame) -> DataFrame:
-    """Entries of both tables together.
+def session_turns(transcripts: DataFrame, rows: DataFrame, pause: float | None = None, keep_text: bool = True) -> DataFrame:
+    """``(sid, line_no, speaker[, text])``: clean turns of transcripts and of recorder rows.
 
-    Null and blank transcripts, rows without session or number, rows before the first label and headers give no entry; repeated rows count
-    once; a line number that a session has twice keeps one entry; empty tables give no rows; other columns are not looked at.
+    A session that has a transcript and rows has turns from both. Null and blank transcripts, rows without session or number, rows before the first label and
+    headers give no turn; repeated rows count once; a session with several different transcripts is read from the longest; empty tables give no rows; other columns are not looked at.
     """
-    a = entries_of_transcripts(transcripts)
-    b = entries_of_rows(rows)
-    return a.unionByName(b).dropDuplicates(["sid", "line_no"])
+    spoken = turns_of_transcripts(transcripts, pause=pause, keep_text=keep_text)
+    entries = cut(entries_of_rows(rows))
+    recorded = speaker_turns(entries, pause=pause) if keep_text else turn_heads(entries.drop("text"))
+    return spoken.unionByName(recorded.withColumn("line_no", F.col("line_no").cast("int")))
