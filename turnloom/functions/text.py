@@ -58,3 +58,26 @@ def clean_excerpt(text: Column, most: int = 80) -> Column:
 def clock(seconds: Column) -> Column:
     s = F.floor(seconds).cast("long")
     return F.concat(F.lpad((F.floor(s / 60)).cast("string"), 2, "0"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
+
+
+def duration_words(seconds: Column) -> Column:
+    """"n seconds" below a minute and a half, else "x.y minutes"."""
+    tenths = F.rint(seconds / 60.0 * 10).cast("long")
+    minutes = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" minutes"))
+    return F.when(seconds < 90, F.concat(F.rint(seconds).cast("long").cast("string"), F.lit(" seconds"))).otherwise(minutes)
+
+
+def percent_change(now: Column, before: Column) -> Column:
+    """Change in whole percent of ``before``, half to even; 0 where that is 0."""
+    return F.when(before == 0, 0).otherwise(F.rint(F.try_divide(100.0 * (now - before), before)).cast("int"))
+
+
+def valid_code(code: Column) -> Column:
+    """The code without blanks around it; null where it is empty or holds a blank inside."""
+    plain = F.trim(code)
+    return F.when((plain != "") & ~F.contains(plain, F.lit(" ")), plain)
+
+
+def cut_text(text: Column, most: int) -> Column:
+    """The first ``most`` characters; null stays null."""
+    return F.substring(text, 1, most)

@@ -73,3 +73,26 @@ def within_person_z(rows: DataFrame, key: str, value: str, is_baseline: str) ->
     b = F.when(F.col(is_baseline), F.col(value))
     n, m, s = F.count(b).over(w), F.avg(b).over(w), F.stddev_samp(b).over(w)
     return rows.withColumn(f"{value}_z", F.when(n >= 2, round_n((F.col(value) - m) / F.when(s == 0, 1e-6).otherwise(s), 4)))
+
+
+def case_trajectory(indexed: DataFrame, trend: DataFrame, measures: DataFrame, key: str = "client_id", number: str = "session_number") -> DataFrame:
+    """One row per case, ready to be shown: its sessions in order with index and confidence, the latest one, the state of the index, its outcome scores in order, and how many sessions can be read alone.
+
+    ``trend(key, state)`` and ``measures(key, number, instrument, score)`` may lack cases. Each table is rolled up by case first and joined as one row, so nothing is looked up per case; the rows of a case are
+    bounded by its number of sessions.
+    """
+    one = F.struct(F.col(number).alias("n"), F.col("tpi").alias("tpi"), F.col("confidence").alias("confidence"))
+    s = indexed.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("s_"), F.count(F.lit(1)).alias("n_sessions"), F.sum((F.col("confidence") >= 0.6).cast("int")).alias("n_readable"), F.max_by("tpi", number).alias("latest_tpi"), F.max(number).alias("latest_session"))
+    m = measures.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.col("instrument").alias("i"), F.col("score").alias("x")))).alias("m_"), F.min_by("instrument", F.struct(F.col(number), F.col("instrument"))).alias("instrument"))
+    j = s.join(trend.select(key, "state"), key, "left").join(m, key, "left")
+    s_, m_ = F.col("s_"), F.col("m_")
+    return j.select(
+        key, "n_sessions", "n_readable", "latest_session", "latest_tpi", "state", "instrument",
+        F.array_join(F.transform(s_, lambda x: F.format_string("%d=%.2f", x["n"], x["tpi"])), ";").alias("series"),
+        F.coalesce(F.array_join(F.transform(m_, lambda x: F.format_string("%d:%s=%.1f", x["n"], x["i"], x["x"])), ";"), F.lit("")).alias("measures"),
+    )
+
+
+def norms_z(features: DataFrame, norms: dict[str, tuple[float, float]]) -> DataFrame:
+    """``features`` with <name>_z for every column that has a norm (mean, deviation)."""
+    return features.withColumns({f"{k}_z": round_n((F.col(k) - F.lit(m)) / F.lit(s), 4) for k, (m, s) in norms.items() if k in features.columns})

@@ -21,8 +21,11 @@ def with_balance(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(per.join(F.broadcast(total)).select(label, (F.col("n_") / (F.col("k_") * F.col("c_"))).alias("weight"))), label)
 
 
-def text_pipeline(learner: str = "lr", text: str = "text", label: str = "label", extra: tuple[str, ...] = (), vocab: int = 20_000, min_df: float = 3.0) -> Pipeline:
-    """Word 1-2-gram TF-IDF with further numeric columns, and one of nb, lr, svm, rf, mlp."""
+def text_pipeline(learner: str = "lr", text: str = "text", label: str = "label", extra: tuple[str, ...] = (), vocab: int = 20_000, min_df: float = 3.0, weight: str | None = None) -> Pipeline:
+    """Word 1-2-gram TF-IDF with further numeric columns, and one of majority, nb, lr, svm, rf; ``weight`` names the column of row weights, see ``with_balance``.
+
+    The majority floor is a naive Bayes whose smoothing drowns every word, so that only the class shares are left.
+    """
     words = RegexTokenizer(inputCol=text, outputCol="w_", pattern=r"[a-z']+", gaps=False)
     two = NGram(n=2, inputCol="w_", outputCol="g_")
     stages = [StringIndexer(inputCol=label, outputCol="y_", handleInvalid="skip", stringOrderType="alphabetAsc"), words, two]
@@ -30,8 +33,10 @@ def text_pipeline(learner: str = "lr", text: str = "text", label: str = "label",
         stages += [CountVectorizer(inputCol=f"{c}_", outputCol=f"{c}c_", vocabSize=vocab, minDF=min_df), IDF(inputCol=f"{c}c_", outputCol=f"{c}i_"), Normalizer(inputCol=f"{c}i_", outputCol=f"{c}n_")]
     stages.append(VectorAssembler(inputCols=["wn_", "gn_", *extra], outputCol="x_"))
     common = {"featuresCol": "x_", "labelCol": "y_"}
+    if weight:
+        common["weightCol"] = weight
     last = {
-        "nb": lambda: NaiveBayes(smoothing=0.3, **common), "lr": lambda: LogisticRegression(regParam=0.01, maxIter=60, **common),
+        "majority": lambda: NaiveBayes(smoothing=1e12, **common), "nb": lambda: NaiveBayes(smoothing=0.3, **common), "lr": lambda: LogisticRegression(regParam=0.01, maxIter=60, **common),
         "svm": lambda: OneVsRest(classifier=LinearSVC(regParam=0.01, maxIter=40), **common), "rf": lambda: RandomForestClassifier(numTrees=50, maxDepth=8, seed=1, **common),
     }[learner]()
     return Pipeline(stages=[*stages, last])
@@ -45,18 +50,18 @@ def fit_and_predict(train: DataFrame, test: DataFrame, learner: str, **options)
     return model, model.transform(test).select("*", named.alias("predicted"))
 
 
-def out_of_fold(folds: DataFrame, learner: str, label: str = "label", k: int = 5, **options) -> DataFrame:
-    """``(label, predicted)`` of every row, each fold predicted by a fit on the others; rows of a class that the others lack count as '(not predicted)'."""
+def out_of_fold(folds: DataFrame, learner: str, label: str = "label", k: int = 5, keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """``(keep, label, predicted)`` of every row, each fold predicted by a fit on the others; rows of a class that the others lack count as '(not predicted)'."""
     out = None
     for i in range(k):
         train, test = folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)
         if test.isEmpty():
             continue
         model, got = fit_and_predict(train, test, learner, label=label, **options)
-        known = got.select(label, "predicted")
-        unseen = test.where(~F.col(label).isin(model.stages[0].labels)).select(label, F.lit("(not predicted)").alias("predicted"))
+        known = got.select(*keep, label, "predicted")
+        unseen = test.where(~F.col(label).isin(model.stages[0].labels)).select(*keep, label, F.lit("(not predicted)").alias("predicted"))
         out = known.union(unseen) if out is None else out.union(known).union(unseen)
-    return folds.select(label, F.lit(None).cast("string").alias("predicted")).limit(0) if out is None else out
+    return folds.select(*keep, label, F.lit(None).cast("string").alias("predicted")).limit(0) if out is None else out
 
 
 def mlp_layers(n_inputs: int, n_classes: int, hidden: int = 128) -> MultilayerPerceptronClassifier:

@@ -64,14 +64,8 @@ def event_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.moments(_track(spark, sf_dir), "user_id", t="t", tracks=("v", "u"))
 
 
-def fused_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
-    f = e.select("vec_id", (50 + 20 * F.col("e0")).alias("tpi"), F.when(F.col("vec_id") % 3 > 0, 8 * F.col("e1")).alias("az"), F.when(F.col("vec_id") % 2 > 0, 8 * F.col("e2")).alias("vz"), F.lit(0.8).alias("conf"))
-    return S.fuse(f, "tpi", "az", "vz", "conf").select("vec_id", "fused", "shift", "modalities", "agreement")
-
-
 def within_label_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), (F.col("vec_id") % 2 == 0).alias("base"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size("embedding")).alias("x"), (F.col("vec_id") % 2 == 0).alias("base"))
     return within_person_z(e, "label", "x", "base").select("vec_id", "label", "x_z")
 
 
@@ -146,7 +140,7 @@ def next_session_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return next_number(table(spark, sf_dir, "transcripts"), "client_id", "session_number")
 
 
-_names = """align_proportional align_interpolated moment_in_turn moment_near_turn event_episodes event_arc event_moments fused_index within_label_z event_windows document_scripts document_numbers number_gate
+_names = """align_proportional align_interpolated moment_in_turn moment_near_turn event_episodes event_arc event_moments within_label_z event_windows document_scripts document_numbers number_gate
 document_excerpts document_sentences turn_clocks measure_upsert client_insert deleted_clients client_summary next_session_number""".split()
 QUERIES = {n: globals()[n] for n in _names}
 
@@ -158,7 +152,6 @@ _ep = lambda kind, cond: f"""SELECT user_id, min(t) AS start_t, max(t) AS end_t,
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - row_number() OVER (PARTITION BY user_id, {cond} ORDER BY t) AS g FROM zz) WHERE {cond} GROUP BY user_id, g HAVING max(t) - min(t) >= 60"""
 _SIG = "(round_even(x * pow(10.0::DOUBLE, 3 - floor(log10(abs(CASE WHEN x = 0 THEN 1.0::DOUBLE ELSE x END)))), 0) / pow(10.0::DOUBLE, 3 - floor(log10(abs(CASE WHEN x = 0 THEN 1.0::DOUBLE ELSE x END)))))"
 _NUM = f"list_distinct(list_transform(list_transform(regexp_extract_all(text, '-?\\d+\\.?\\d*'), lambda t: t::DOUBLE), lambda x: CASE WHEN x = floor(x) THEN format('{{:.0f}}', x) WHEN {_SIG} = floor({_SIG}) AND abs({_SIG}) < 10000 THEN format('{{:.0f}}', {_SIG}) ELSE {_SIG}::VARCHAR END))"
-_AZ, _VZ = "greatest(-3.0::DOUBLE, least(3.0::DOUBLE, az))", "greatest(-3.0::DOUBLE, least(3.0::DOUBLE, vz))"
 SQL = {
     "align_proportional": f"""WITH {CORPUS}, w AS (SELECT transcript_id, idx, greatest(1, {sql_space_words('text')})::DOUBLE AS n FROM corpus),
 c AS (SELECT *, sum(n) OVER (PARTITION BY transcript_id ORDER BY idx) AS upto, sum(n) OVER (PARTITION BY transcript_id) AS total FROM w)
@@ -174,12 +167,7 @@ SELECT session_id, idx, {R('s', 4)} AS start_s, {R('coalesce(lead(s) OVER (PARTI
     "event_arc": f"""WITH {_TRACK}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS c FROM track),
 s AS (SELECT user_id, count(*) AS n, avg(v) FILTER (i < c // 3) AS f, avg(v) FILTER (i >= c - ceil(c / 3)) AS l, avg(v) FILTER (i < c // 2) AS h1, avg(v) FILTER (i >= c // 2) AS h2, avg(v) AS m, stddev_pop(v) AS sd, max(v) AS top FROM n GROUP BY user_id)
 SELECT user_id, n, {R('f', 6)} AS first_third, {R('l', 6)} AS last_third, CASE WHEN l / nullif(f, 0) >= 1.4::DOUBLE THEN 'rising' WHEN l / nullif(f, 0) <= 0.6::DOUBLE THEN 'fading' ELSE 'level' END AS engagement, {R('h2 - h1', 6)} AS half_shift, top > m + 2 * sd AS spike FROM s""",
-    "fused_index": f"""WITH e AS (SELECT vec_id, 50 + 20 * embedding[1]::DOUBLE AS tpi, CASE WHEN vec_id % 3 > 0 THEN 8 * embedding[2]::DOUBLE END AS az, CASE WHEN vec_id % 2 > 0 THEN 8 * embedding[3]::DOUBLE END AS vz FROM embeddings),
-s AS (SELECT *, greatest(-4.0::DOUBLE, least(4.0::DOUBLE, CASE WHEN az IS NOT NULL THEN 10.0::DOUBLE * 0.15::DOUBLE * {_AZ} ELSE 0.0 END + CASE WHEN vz IS NOT NULL THEN 10.0::DOUBLE * 0.10::DOUBLE * {_VZ} ELSE 0.0 END)) * 0.8::DOUBLE AS sh,
-  1 + (az IS NOT NULL)::INT + (vz IS NOT NULL)::INT AS modalities FROM e)
-SELECT vec_id, {R('greatest(0.0::DOUBLE, least(100.0::DOUBLE, tpi + sh))', 2)} AS fused, {R('sh', 2)} AS shift, modalities,
-  CASE WHEN modalities = 1 THEN 'text_only' WHEN abs(sh) < 1.0 THEN 'converging' WHEN sh > 0 THEN 'channels_support_higher' ELSE 'channels_suggest_caution' END AS agreement FROM s""",
-    "within_label_z": f"""WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x FROM embeddings), b AS (SELECT label, count(*) AS n, avg(x) AS m, stddev_samp(x) AS s FROM e WHERE vec_id % 2 = 0 GROUP BY label)
+    "within_label_z": f"""WITH e AS (SELECT vec_id, label, list_sum(embedding::DOUBLE[]) / len(embedding) AS x FROM embeddings), b AS (SELECT label, count(*) AS n, avg(x) AS m, stddev_samp(x) AS s FROM e WHERE vec_id % 2 = 0 GROUP BY label)
 SELECT vec_id, label, {R('CASE WHEN n >= 2 THEN (x - m) / CASE WHEN s = 0 THEN 1e-6::DOUBLE ELSE s END END', 4)} AS x_z FROM e LEFT JOIN b USING (label)""",
     "event_windows": f"SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, {R('sum(value)', 4)} AS total FROM events GROUP BY ALL",
     "document_scripts": r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[\x{0B80}-\x{0BFF}]')) AS ta, len(regexp_extract_all(text, '[\x{0900}-\x{097F}]')) AS hi, len(regexp_extract_all(text, '[A-Za-z]')) AS en FROM documents WHERE text IS NOT NULL)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("intervals", "scoring", "dyads", "series", "flagship", "validation", "clocks", "rules", "studies")
+MODULES = ("intervals", "scoring", "dyads", "series", "flagship", "validation", "clocks", "moments", "casework", "rules", "studies")
 
 
 def gather() -> tuple[dict, dict]:

@@ -37,12 +37,15 @@ def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
     return df.repartition(want, *keys)
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", parts: int = 64, share: float = 0.002, least: int = 100_000) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", parts: int = 64, share: float = 0.002, least: int = 100_000, rows: int | None = None) -> DataFrame:
     """``left`` joined with ``right``, which has one row per key, so that a key with a large share of the rows of ``left`` is spread over ``parts`` tasks.
 
     The hot keys are the 1 / share most frequent ones among those with more than ``least`` rows: a short list whatever the data, and a key left out of it holds less than ``share`` of all rows. Rows of a hot key
-    get one of ``parts`` salts by a hash of the whole row, and its one row on the right is repeated for each salt. Counting is a map-side aggregation. ``left`` should be cheap to read twice.
+    get one of ``parts`` salts by a hash of the whole row, and its one row on the right is repeated for each salt. Counting is a map-side aggregation. ``left`` should be cheap to read twice;
+    where its number of ``rows`` is known and not above ``least``, nothing is counted.
     """
+    if rows is not None and rows <= least:
+        return left.join(right, key, how)
     counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n_hot"))
     often = counts.where(F.col("n_hot") > least)
     hot = [r[0] for r in often.select(key, "n_hot").orderBy(F.desc("n_hot")).limit(int(1 / share)).collect()]
