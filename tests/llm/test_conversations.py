@@ -1,6 +1,7 @@
 import random
 
-from turnloom.llm.conversations import dropped_conversations, link_conversations, rebuild_conversations, star_components
+from turnloom.llm.conversations import contracted, dropped_conversations, link_conversations, rebuild_conversations, star_components
+from turnloom.session import hot_join
 
 DDL = "transcript_id int, utterance_id int, interlocutor string, utterance_text string"
 
@@ -56,6 +57,22 @@ def test_star_components_random(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_contraction_keeps_components(spark):
+    rng = random.Random(8)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1400)]
+    df = spark.createDataFrame(edges + [(None, 3)], "a long, b long").repartition(5)
+    few = contracted(df)
+    assert {tuple(r) for r in star_components(few).collect()} == {tuple(r) for r in star_components(df).collect()}
+
+
+def test_a_hub_is_spread(spark):
+    """A hub with a third of all edges gets the same components as by plain joins, its edges salted."""
+    edges = spark.range(3000).selectExpr("case when id % 3 = 0 then 5 else id end as a", "id + 1 as b")
+    low = edges.groupBy("a").agg({"b": "min"}).withColumnRenamed("min(b)", "m")
+    one, two = (sorted(map(tuple, hot_join(edges, low, "a", parts=4, least=n).collect())) for n in (100, 10**6))
+    assert one == two and len(one) == 3000
+
+
 def test_links_without_ids(spark):
     rows = [(1, None, None), (2, 1, None), (3, 2, None), (4, None, None), (5, 99, 4), (6, 6, None), (2, 1, None), (None, 1, None)]
     df = spark.createDataFrame(rows, "id long, reply_to long, quotes long")

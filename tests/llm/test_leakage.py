@@ -42,6 +42,8 @@ def test_random_against_brute_force(spark):
         for words in (40, 2_000_000):
             got = leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), min_words=5, shard_words=words).collect()
             assert {(r.doc_id, r.item_id): r.n_words for r in got} == brute(docs, items, 5)
+            many = leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), min_words=5, max_item_words=25)
+            assert {(r.doc_id, r.item_id): r.n_words for r in many.collect()} == brute(docs, items, 5)  # in several passes
             for r in got[:10]:
                 a, b = words_of(dict(docs)[r.doc_id]), words_of(dict(items)[r.item_id])
                 assert a[r.word_pos : r.word_pos + r.n_words] == b[r.item_pos : r.item_pos + r.n_words]

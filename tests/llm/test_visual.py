@@ -1,7 +1,7 @@
 import random
 import unicodedata
 
-from turnloom.llm.visual import LOOK_ALIKES, consistent, equal_looking_pairs, mapping, with_consistent_text
+from turnloom.llm.visual import LOOK_ALIKES, consistent, equal_looking_pairs, form_classes, mapping, with_consistent_text
 
 
 def test_forms():
@@ -45,5 +45,8 @@ def test_pairs(spark):
     got = [tuple(r) for r in equal_looking_pairs(df).collect()]
     assert sorted(got) == [(1, 2), (1, 8), (2, 3), (2, 8), (3, 8), (5, 6), (9, 10)]
     assert equal_looking_pairs(df.limit(0)).collect() == []
+    classes = {r.doc_id: (r.class_id, r.n_documents, r.n_stored) for r in form_classes(df).collect()}
+    assert classes == {1: (1, 4, 3), 2: (1, 4, 3), 3: (1, 4, 3), 8: (1, 4, 3), 4: (4, 1, 1), 5: (5, 2, 2), 6: (5, 2, 2), 9: (9, 2, 2), 10: (9, 2, 2)}
+    assert form_classes(df.limit(0)).collect() == []
     out = with_consistent_text(df.select("doc_id", "text")).collect()
     assert {r.doc_id: r.consistent_text for r in out}[7] is None

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from turnloom.session import cut
+from turnloom.session import cut, hot_join
 
 # Spellings of the two roles, after lower-casing and removing everything but letters.
 THERAPIST_NAMES = (
@@ -28,23 +31,24 @@ def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node of each connected component by alternating large-star and small-star joins.
 
     ``edges(a, b)`` with comparable node ids; loops and repeated edges are allowed, null ends are ignored. Returns
-    ``(node, root)`` for every node with an edge to another. Each half-round groups on one node id with map-side minima and
-    joins that one row per node back, so a hub never gathers its neighbours in one task. Lineage is cut every round.
+    ``(node, root)`` for every node with an edge to another. Each half-round groups on one node id with map-side minima and joins that one row per
+    node back; edges of a hub are salted over many tasks (``hot_join``), so a hub never gathers its neighbours in one task. Lineage is cut every round.
     """
     e = edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
     e = cut(e)
-    before = None
+    before, n = None, e.count()
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        e = both.join(low, both.a == low.u).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        e = hot_join(both, low.withColumnRenamed("u", "a"), "a", rows=2 * n).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
         down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        near = down.join(low, down.a == low.u)
-        e = cut(near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("u", "m")).distinct())
+        low = down.groupBy("a").agg(F.min("b").alias("m"))
+        near = hot_join(down, low, "a", rows=2 * n)
+        e = cut(near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct())
 
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        n = now[0]
         if now == before:
             break
         before = now
@@ -63,13 +67,40 @@ def link_conversations(messages: DataFrame, message_id: str, *links: str) -> Dat
     ids = messages.select(F.col(message_id).alias("node")).where("node is not null").distinct()
     ties = messages.select(F.col(message_id).alias("a"), F.explode(F.array(*[F.col(c) for c in links])).alias("b"))
     known = ties.where("b is not null").join(ids.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
-    roots = star_components(known)
+    whole = isinstance(messages.schema[message_id].dataType, (T.LongType, T.IntegerType, T.ShortType))
+    roots = star_components(contracted(known) if whole else known)
     return (
         ids.join(roots, "node", "left")
         .select(F.col("node").alias(message_id), F.coalesce("root", "node").alias("conversation_id"))
     )
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """``(a, b)``: the links of each partition replaced by ones from every node to the smallest node it is tied to there; the components stay the same.
+
+    Links that lie together, as those of one conversation mostly do, become stars before anything is shuffled, so long chains cost no rounds. Nodes are 64-bit numbers.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            names, at = np.unique(pdf[["a", "b"]].to_numpy().ravel(), return_inverse=True)
+            a, b = at.reshape(-1, 2).T
+            root = np.arange(len(names))
+            while True:
+                low = root.copy()
+                np.minimum.at(low, a, root[b])
+                np.minimum.at(low, b, root[a])
+                np.minimum.at(low, root, low.copy())
+                low = low[low]
+                if (low == root).all():
+                    break
+                root = low
+            tied = np.flatnonzero(root != np.arange(len(names)))
+            yield pd.DataFrame({"a": names[tied], "b": names[root[tied]]})
+
+    return links.where("a is not null and b is not null").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInPandas(run, "a long, b long")
+
+
 def _utterances(rows: DataFrame, cid: str, uid: str, who: str, text: str, keep_text: bool) -> DataFrame:
     """One row per (conversation, number) with at least one visible text, and whether its rows agree.
 
@@ -88,11 +119,11 @@ def _utterances(rows: DataFrame, cid: str, uid: str, who: str, text: str, keep_t
     )
 
 
-def reply_runs(utterances: DataFrame, block: int = 4096) -> DataFrame:
-    """Unbroken runs of consecutive numbers within blocks: ``(c, lo, hi)``.
+def reply_runs(utterances: DataFrame, block: int = 16) -> DataFrame:
+    """Unbroken runs of consecutive numbers within blocks of ``block`` numbers: ``(c, lo, hi)``.
 
-    A run contracts the reply links between neighbours that lie in one block of numbers, so the star joins only see the links
-    between runs, and a conversation that holds a large share of all rows is spread over its blocks.
+    Up to ``block`` replies in a row are contracted to one node before the star joins, which saves them rounds on what is a chain anyway; links between the runs of one
+    conversation are theirs. A conversation that holds a large share of all rows is spread over its blocks.
     """
     from pyspark.sql import Window
 
@@ -106,7 +137,7 @@ def _node(c: Column, u: Column) -> Column:
     return c.cast("long") * F.lit(_SHIFT) + (u.cast("long") + F.lit(2_147_483_648))
 
 
-def broken_chains(utterances: DataFrame, block: int = 4096) -> DataFrame:
+def broken_chains(utterances: DataFrame, block: int = 16) -> DataFrame:
     """Conversations whose reply links fall into more than one component: ``(c)``."""
     runs = cut(reply_runs(utterances, block))
     left = runs.select(F.col("c"), F.col("lo"), (F.col("lo") - 1).alias("prev"))
@@ -124,7 +155,7 @@ def judge_conversations(
     number: str = "utterance_id",
     speaker: str = "interlocutor",
     text: str = "utterance_text",
-    block: int = 4096,
+    block: int = 16,
     keep_text: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """``(verdicts, utterances)``: one verdict row per conversation, and the visible utterances in one row each.
@@ -168,7 +199,7 @@ def rebuild_conversations(rows: DataFrame, conversation: str = "transcript_id",
     """
     verdicts, seen = judge_conversations(rows, conversation, number, **names)
     whole = verdicts.where("reason is null").select("c", "first_u")
-    return seen.join(whole, "c").select(
+    return hot_join(seen, whole, "c").select(
         F.col("c").alias(conversation),
         (F.col("u") - F.col("first_u") + 1).cast("int").alias("turn_no"),
         F.col("u").alias(number),

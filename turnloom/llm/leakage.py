@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,22 +99,28 @@ class LeakSearch:
                 continue
             begin = np.repeat(lo[at : at + 256] - np.concatenate(([0], np.cumsum(count)[:-1])), count)
             pos, ref = order[np.arange(len(test)) + begin], self.starts[test]
+            # a match that goes on to the left is the rest of a longer one, which is found from its own start
+            longer = (pos > 0) & (ref > 0) & (codes[np.maximum(pos - 1, 0)] == self.stream[np.maximum(ref - 1, 0)]) & (codes[np.maximum(pos - 1, 0)] != 0)
+            pos, ref, test = pos[~longer], ref[~longer], test[~longer]
             length, live = np.full(len(test), m, np.int64), np.arange(len(test))
             while len(live):
                 a, b = codes[pos[live] + length[live]], self.stream[ref[live] + length[live]]
                 live = live[(a == b) & (a != 0)]
                 length[live] += 1
             found = pd.DataFrame({"row": row_of[pos], "item": self.owner[test], "n_words": length, "word_pos": place[pos], "item_pos": self.offset[test]})
-            out.append(found)
+            out.append(_longest(found))
         if not out:
             return pd.DataFrame(columns=columns, dtype="int64")
-        every = pd.concat(out).sort_values(["row", "item", "n_words", "word_pos", "item_pos"], ascending=[True, True, False, True, True])
-        return every.drop_duplicates(["row", "item"])
+        return _longest(pd.concat(out))
 
 
-def _search(make: Callable[[], LeakSearch], shard_words: int) -> Callable:
+def _longest(found: pd.DataFrame) -> pd.DataFrame:
+    return found.sort_values(["row", "item", "n_words", "word_pos", "item_pos"], ascending=[True, True, False, True, True]).drop_duplicates(["row", "item"])
+
+
+def _search(shared: Broadcast, shard_words: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        search, shard, size, ids = make(), [], 0, []
+        search, shard, size, ids = shared.value, [], 0, []
 
         def flush() -> pd.DataFrame:
             hits = search.shard(shard).reset_index(drop=True)
@@ -148,8 +155,8 @@ def leaked_passages(
 ) -> DataFrame:
     """Longest verbatim match per document and item: ``(doc_id, item_id, n_words, word_pos, item_pos)``, positions from 0.
 
-    The items are a fixed set; their words are counted first, and more than ``max_item_words`` raise an error rather than being sent
-    to every task. Each task reads its documents in shards of about ``shard_words`` words (one document is never cut), builds the suffix array of each shard and finds every
+    The test suffixes are prepared once and sent to the tasks; the words of the items are counted first, and items of more than ``max_item_words`` words are searched for in several
+    passes, each with a part of them that stays about below that. Each task reads its documents in shards of about ``shard_words`` words (one document is never cut), builds the suffix array of each shard and finds every
     test suffix by binary search; no corpus text is shuffled. A match has at least ``min_words`` words in the consistent form of both texts.
 
     Rows with a null id or text are ignored, as are items of fewer than ``min_words`` words; a document or item given twice gives its pair once; empty
@@ -157,15 +164,15 @@ def leaked_passages(
     """
     held = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
     n = held.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
-    if n > max_item_words:
-        raise ValueError(f"{n} words of evaluation items exceed max_item_words={max_item_words}")
-    shared = docs.sparkSession.sparkContext.broadcast([(r["i"], r["t"]) for r in held.collect()])
+    passes = max(1, -(-n // max_item_words))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where("id is not null and t is not null")
     id_type = rows.schema["id"].dataType.simpleString()
-    hits = spread(rows).mapInPandas(
-        _search(lambda: LeakSearch(shared.value, min_words), shard_words),
-        f"id {id_type}, item long, n_words long, word_pos long, item_pos long",
-    )
+    hits = None
+    for k in range(passes):
+        some = held.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k).collect()
+        shared = docs.sparkSession.sparkContext.broadcast(LeakSearch([(r["i"], r["t"]) for r in some], min_words))
+        found = spread(rows).mapInPandas(_search(shared, shard_words), f"id {id_type}, item long, n_words long, word_pos long, item_pos long")
+        hits = found if hits is None else hits.union(found)
     best = F.max_by(F.struct("n_words", "word_pos", "item_pos"), F.struct("n_words", -F.col("word_pos"), -F.col("item_pos")))
     return (
         hits.groupBy("id", "item").agg(best.alias("m"))

@@ -63,7 +63,7 @@ def tilt(histogram: DataFrame, budgets: dict[str, float], caps: dict[str, int],
     """Multipliers of the convex dual, one per source: rates min(cap, exp(lambda * tokens / mean)) meet the token budgets.
 
     ``histogram(source, n_tokens, n)`` holds the sufficient statistics of all documents. Each Newton round is one distributed aggregation of gradient and curvature for all
-    sources at once; a step that leaves the bracket is replaced by its middle. A source that needs its cap throughout gets infinity.
+    sources at once, ``max_rounds`` at most, beyond which it raises; a step that leaves the bracket is replaced by its middle. A source that needs its cap throughout gets infinity.
     """
     lam, low, high = {}, {}, {}
     for s, b in budgets.items():
@@ -100,6 +100,9 @@ def tilt(histogram: DataFrame, budgets: dict[str, float], caps: dict[str, int],
             if step == lam[s]:
                 open_.discard(s)
             lam[s] = step
+    else:
+        if open_:
+            raise RuntimeError(f"multipliers of {sorted(open_)} did not settle in {max_rounds} rounds")
     return lam
 
 

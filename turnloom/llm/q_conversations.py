@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm.conversations import CLIENT_NAMES, THERAPIST_NAMES, dropped_conversations, link_conversations, rebuild_conversations
+from turnloom.llm.conversations import CLIENT_NAMES, THERAPIST_NAMES, VISIBLE, dropped_conversations, link_conversations, rebuild_conversations
 from turnloom.session import table
 
 
@@ -17,7 +17,15 @@ def p2_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuild_conversations(table(spark, sf_dir, "annotated_corpus"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_conversations": p2_conversations}
+def p2_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations found again without their ids: messages that only know which message they reply to, the one numbered before them if it is visible."""
+    seen = table(spark, sf_dir, "annotated_corpus").where("transcript_id is not null and utterance_id is not null").where(F.col("utterance_text").rlike(VISIBLE))
+    one = seen.select((F.col("transcript_id").cast("long") * 4_294_967_296 + F.col("utterance_id")).alias("message_id")).distinct()
+    before = one.select((F.col("message_id") + 1).alias("message_id"), F.col("message_id").alias("reply_to"))
+    return link_conversations(one.join(before, "message_id", "left"), "message_id", "reply_to")
+
+
+QUERIES = {"p2_found": p2_found, "p2_conversations": p2_conversations, "p2_linked": p2_linked}
 
 _names = lambda xs: ", ".join(f"'{x}'" for x in xs)
 _VERDICTS = f"""
@@ -40,6 +48,10 @@ r AS (
   FROM (SELECT DISTINCT transcript_id FROM annotated_corpus WHERE transcript_id IS NOT NULL) t LEFT JOIN f USING (transcript_id))
 """
 SQL = {
+    "p2_linked": """WITH v AS (SELECT DISTINCT transcript_id::BIGINT * 4294967296 + utterance_id AS message_id FROM annotated_corpus
+  WHERE transcript_id IS NOT NULL AND utterance_id IS NOT NULL AND regexp_matches(utterance_text, '[\\p{L}\\p{N}]')),
+g AS (SELECT message_id, message_id - row_number() OVER (ORDER BY message_id) AS island FROM v)
+SELECT message_id, min(message_id) OVER (PARTITION BY island) AS conversation_id FROM g""",
     "p2_found": _VERDICTS + "SELECT transcript_id, reason FROM r WHERE reason IS NOT NULL",
     "p2_conversations": _VERDICTS
     + """SELECT transcript_id, CAST(utterance_id - first_u + 1 AS INTEGER) AS turn_no, utterance_id, role, said AS text

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm.leakage import leaked_passages, remove_leaked
-from turnloom.llm.visual import equal_looking_pairs, with_consistent_text
+from turnloom.llm.visual import equal_looking_pairs, form_classes, with_consistent_text
 from turnloom.session import table
 
 
@@ -26,6 +26,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return equal_looking_pairs(table(spark, sf_dir, "documents"))
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return form_classes(table(spark, sf_dir, "documents"))
+
+
 def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_consistent_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "consistent_text", (~F.col("text").eqNullSafe(F.col("consistent_text"))).alias("changed"))
@@ -36,6 +40,7 @@ QUERIES = {
     "p7_matches": p7_matches,
     "p7_clean_documents": p7_clean_documents,
     "p9_found": p9_found,
+    "p9_classes": p9_classes,
     "p9_documents": p9_documents,
 }
 SQL: dict = {}

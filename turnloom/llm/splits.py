@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.session import cut
+from turnloom.session import cut, hot_join
 
 # Words that stand for an absent code, after removing everything but letters and digits.
 ABSENT_CODES = ("", "na", "none", "null", "nan", "unknown", "missing", "tbd", "notavailable", "notapplicable")
@@ -28,9 +28,9 @@ def code_ties(rows: DataFrame, record: str, *codes: str) -> DataFrame:
     for i, c in enumerate(codes):
         part = rows.select(F.col(record).alias("a"), F.concat(F.lit(f"{i}:"), plain_code(F.col(c))).alias("code"))
         pairs = part if pairs is None else pairs.union(part)
-    pairs = pairs.where("a is not null and code is not null").distinct()
+    pairs = cut(pairs.where("a is not null and code is not null").distinct())
     least = pairs.groupBy("code").agg(F.min("a").alias("b"))
-    return pairs.join(least, "code").where("a <> b").select("a", "b").distinct()
+    return hot_join(pairs, least, "code").where("a <> b").select("a", "b").distinct()
 
 
 def hook_and_shortcut(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -42,12 +42,12 @@ def hook_and_shortcut(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     parent = cut(e.select(F.col("a").alias("node")).distinct().withColumn("parent", F.col("node")))
-    before = None
+    before, n = None, e.count()
     for _ in range(max_rounds):
-        up = parent.select(F.col("node").alias("p"), F.col("parent").alias("gp"))
-        near = parent.join(up, parent.parent == up.p).select("node", "parent", "gp")
+        up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("gp"))
+        near = hot_join(parent, up, "parent", rows=n).select("node", "parent", "gp")  # the root of a giant group is a hot key, as is a record with many edges
         other = near.select(F.col("node").alias("b"), F.col("gp").alias("other_gp"))
-        least = e.join(other, "b").groupBy("a").agg(F.min("other_gp").alias("other_gp"))
+        least = hot_join(e, other, "b", rows=n).groupBy("a").agg(F.min("other_gp").alias("other_gp"))
         hooks = near.join(least, near.node == least.a, "left")
         moves = hooks.select(
             F.explode(
@@ -82,7 +82,7 @@ def closest_subset(sizes: dict[int, int], target: int) -> dict[int, int]:
 
     Reachable totals are a bitset that is shifted by each size, its multiplicity split into powers of two; for each total only the
     size that reached it first is kept, which is enough to walk back. Totals above twice the target are never nearest (zero is nearer), so
-    the bitset has 2 * target + 1 bits, and the walk table two bytes a total.
+    the bitset has 2 * target + 1 bits, and the walk table four bytes a total. No further size is tried once the target itself is reached.
     """
     limit = min(2 * target, sum(s * n for s, n in sizes.items()))
     mask = (1 << (limit + 1)) - 1
@@ -96,6 +96,8 @@ def closest_subset(sizes: dict[int, int], target: int) -> dict[int, int]:
         fresh = np.unpackbits(np.frombuffer((now & ~reach).to_bytes(limit // 8 + 1, "little"), np.uint8), bitorder="little")[: limit + 1]
         first[fresh.astype(bool)] = k
         reach = now
+        if target <= limit and reach >> target & 1:
+            break
     total = min((t for t in range(limit + 1) if reach >> t & 1), key=lambda t: (abs(t - target), t)) if limit < 4096 else _nearest(reach, limit, target)
     taken: dict[int, int] = {}
     while total:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.session import spread
+from turnloom.session import cut, hot_join, spread
 
 # Letters of other scripts and signs whose usual glyph is that of an ordinary letter or sign (look-alike = ordinary).
 LOOK_ALIKES = """
@@ -160,18 +160,34 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
+def _keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(id, same, stored)``: 128-bit digests of the consistent form and of the stored text; texts are read once and not kept."""
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where("id is not null and t is not null")
+    id_type = rows.schema["id"].dataType.simpleString()
+    return cut(spread(rows).mapInPandas(_digests, f"id {id_type}, same binary, stored binary").distinct())
+
+
+def form_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, class_id, n_documents, n_stored)``: one row per document, class_id is the smallest id of those that read the same, n_stored how many different texts they are stored in.
+
+    Edge cases as in ``equal_looking_pairs``; a document given with several texts has a row for each of their classes.
+    """
+    keys = _keys(docs, doc_id, text)
+    classes = keys.groupBy("same").agg(F.min("id").alias("class_id"), F.count_distinct("id").alias("n_documents"), F.count_distinct("stored").alias("n_stored"))
+    return hot_join(keys.select("id", "same").distinct(), classes, "same").select(F.col("id").alias(doc_id), "class_id", "n_documents", "n_stored")
+
+
 def equal_looking_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", out: tuple[str, str] = ("doc_a", "doc_b")) -> DataFrame:
     """``(doc_a, doc_b)`` with doc_a < doc_b for documents whose texts differ as stored but have one consistent form.
 
-    Only 128-bit digests leave the text stage. Groups in which all stored texts are equal are dropped before the join, and the join is on
-    the digest of the form, so exact copies are never paired with each other. Rows with a null id or text are ignored; repeated rows
+    Only 128-bit digests leave the text stage. Pairs are first made of the different stored texts of a form, which are few, and then spelled out by the documents that hold either, so exact
+    copies are never paired with each other and the work is that of the rows asked for; ``form_classes`` gives one row per document instead. Rows with a null id or text are ignored; repeated rows
     count once; the empty text and one of invisible characters only look the same; an empty table gives no rows; other columns are not looked at.
     """
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where("id is not null and t is not null")
-    id_type = rows.schema["id"].dataType.simpleString()
-    keys = spread(rows).mapInPandas(_digests, f"id {id_type}, same binary, stored binary").distinct()
-    mixed = keys.groupBy("same").agg(F.min("stored").alias("x"), F.max("stored").alias("y")).where("x <> y").select("same")
-    near = keys.join(mixed, "same", "left_semi")
-    a = near.select("same", F.col("id").alias(out[0]), F.col("stored").alias("stored_a"))
-    b = near.select("same", F.col("id").alias(out[1]), F.col("stored").alias("stored_b"))
-    return a.join(b, "same").where(f"{out[0]} < {out[1]} and stored_a <> stored_b").select(*out).distinct()
+    keys = _keys(docs, doc_id, text)
+    texts = keys.select("same", "stored").distinct()
+    kinds = texts.join(texts.groupBy("same").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("same"), "same", "left_semi")
+    pairs = kinds.select("same", F.col("stored").alias("x")).join(kinds.select("same", F.col("stored").alias("y")), "same").where("x < y").select("x", "y")
+    of = lambda name, stored: keys.select(F.col("id").alias(name), F.col("stored").alias(stored))
+    both = pairs.join(of("p", "x"), "x").join(of("q", "y"), "y").where("p <> q")
+    return both.select(F.least("p", "q").alias(out[0]), F.greatest("p", "q").alias(out[1])).distinct()
