@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.lexicon import FAMILY_DEFAULT, FAMILY_OF, INTERVENTIONS
 from turnloom.functions.numeric import erf, mean_of_rounded, round_n, safe_corr, sd_or_zero
+from turnloom.operators.blocks import carried
+from turnloom.session import cut
 
 
 def tag_intervention(text: Column, family: Column | None = None) -> Column:
@@ -28,15 +30,13 @@ def turn_pairs(turns: DataFrame, *keys: str, order: str = "idx", min_next_words:
 
     ``turns`` carry speaker, text, n_words (white-space words) and process_mean for client turns. The following client turn needs ``min_next_words`` words.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    client = F.when(F.col("speaker") == "client", F.struct(F.col("process_mean").alias("pm"), F.col("text").alias("text"), F.col("n_space_words").alias("words")))
-    near = turns.withColumns({
-        "before_": F.last(client, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-        "after_": F.first(client, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
-    })
+    client = F.when(F.col("speaker") == "client", F.struct(F.col("process_mean").alias("pm"), F.col("n_space_words").alias("words")))
+    move = F.when(F.col("speaker") == "therapist", tag_intervention(F.col("text"))).alias("intervention")
+    rows = cut(turns.select(*keys, order, "speaker", move, "process_mean", "n_space_words"))  # scores and tags are worked out once
+    near = carried(carried(rows, client, order, *keys, out="before_"), client, order, *keys, out="after_", ahead=True)
     pairs = near.where("speaker = 'therapist' and before_ is not null and after_.words >= %d" % min_next_words)
     return pairs.select(
-        *keys, F.col(order).alias("therapist_idx"), tag_intervention(F.col("text")).alias("intervention"),
+        *keys, F.col(order).alias("therapist_idx"), "intervention",
         round_n(F.col("before_.pm"), 4).alias("before"), round_n(F.col("after_.pm"), 4).alias("after"), round_n(F.col("after_.pm") - F.col("before_.pm"), 4).alias("lift"),
     )
 
@@ -101,15 +101,14 @@ def best_moves(profile: DataFrame, *keys: str) -> DataFrame:
 
 def triples(turns: DataFrame, *keys: str, order: str = "idx", min_words: int = 5) -> DataFrame:
     """Strictly adjacent client - therapist - client turns with ``min_words`` words on both sides, and the label of the next client turn."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    around = turns.withColumns({
-        f"{side}_{c}": f(c).over(w) for side, f in (("p", F.lag), ("x", F.lead)) for c in ("speaker", "n_space_words", "process_mean", "client_talk_type")
-    })
+    rows = cut(turns.select(*keys, order, "speaker", "behaviour", "n_space_words", "process_mean", "client_talk_type"))
+    row = F.struct("speaker", "n_space_words", "process_mean", "client_talk_type")
+    around = carried(carried(rows, row, order, *keys, out="p"), row, order, *keys, out="x", ahead=True)
     return around.where(
-        f"speaker = 'therapist' and p_speaker = 'client' and x_speaker = 'client' and p_n_space_words >= {min_words} and x_n_space_words >= {min_words}"
+        f"speaker = 'therapist' and p.speaker = 'client' and x.speaker = 'client' and p.n_space_words >= {min_words} and x.n_space_words >= {min_words}"
     ).select(
-        *keys, F.col(order).alias("therapist_idx"), "behaviour", F.col("p_process_mean").alias("before"), F.col("x_process_mean").alias("after"),
-        (F.col("x_process_mean") - F.col("p_process_mean")).alias("lift"), (F.col("x_client_talk_type") == "change").alias("next_change"),
+        *keys, F.col(order).alias("therapist_idx"), "behaviour", F.col("p.process_mean").alias("before"), F.col("x.process_mean").alias("after"),
+        (F.col("x.process_mean") - F.col("p.process_mean")).alias("lift"), (F.col("x.client_talk_type") == "change").alias("next_change"),
     )
 
 
@@ -133,16 +132,14 @@ def chi2_yates(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Colu
 def lead_lag(series: DataFrame, dims: tuple[str, ...], *keys: str, order: str = "session_number", min_sessions: int = 6) -> DataFrame:
     """Which dimension's change precedes which: correlations of first differences one step apart, both ways, for every ordered pair.
 
-    The differences are unpivoted and each is joined with the next step's by key and position, so a key with many sessions still hashes by position.
+    One aggregation holds the correlation of every difference with every next difference; its cells become rows, so nothing is joined.
     """
     w = Window.partitionBy(*keys).orderBy(order)
-    long_ = series.withColumns({"n_": F.count(F.lit(1)).over(Window.partitionBy(*keys)), "i_": F.row_number().over(w), **{f"d_{d}": F.col(d) - F.lag(d).over(w) for d in dims}})
-    long_ = long_.where(F.col("n_") >= min_sessions).select(*keys, "i_", *[F.col(f"d_{d}").alias(d) for d in dims])
-    diff = long_.unpivot([*keys, "i_"], list(dims), "dim", "delta").where("delta is not null")
-    a = diff.select(*keys, F.col("i_"), F.col("dim").alias("a"), F.col("delta").alias("da"))
-    b = diff.select(*keys, (F.col("i_") - 1).alias("i_"), F.col("dim").alias("b"), F.col("delta").alias("db"))
-    pairs = a.join(b, [*keys, "i_"]).where("a <> b").groupBy(*keys, "a", "b").agg(safe_corr(F.col("da"), F.col("db")).alias("fwd"))
-    back = pairs.select(*keys, F.col("a").alias("b"), F.col("b").alias("a"), F.col("fwd").alias("rev"))
-    both = pairs.join(back, [*keys, "a", "b"]).where("fwd is not null and rev is not null")
+    d = series.withColumns({"n_": F.count(F.lit(1)).over(Window.partitionBy(*keys)), **{f"d_{x}": F.col(x) - F.lag(x).over(w) for x in dims}}).where(F.col("n_") >= min_sessions)
+    d = d.withColumns({f"x_{x}": F.lead(f"d_{x}").over(w) for x in dims})
+    pairs = [(a, b) for a in dims for b in dims if a != b]
+    sums = d.groupBy(*keys).agg(*[safe_corr(F.col(f"d_{a}"), F.col(f"x_{b}")).alias(f"c_{a}_{b}") for a, b in pairs])
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c_{a}_{b}").alias("fwd"), F.col(f"c_{b}_{a}").alias("rev")) for a, b in pairs])
+    both = sums.select(*keys, F.explode(cells).alias("x")).select(*keys, "x.a", "x.b", "x.fwd", "x.rev").where("fwd is not null and rev is not null")
     asym = F.col("fwd") - F.col("rev")
     return both.select(*keys, "a", "b", round_n(F.col("fwd"), 4).alias("fwd"), round_n(F.col("rev"), 4).alias("rev"), round_n(asym, 4).alias("asymmetry"), ((asym > 0.25) & (F.col("fwd") > 0.2)).alias("strong"))
