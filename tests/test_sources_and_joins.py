@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from turnloom.operators.align import containing_interval, nearest_interval
 from turnloom.operators.signals import episodes, moments
 from turnloom.operators.store import cascade_delete, insert_new, upsert
-from turnloom.sources.corpora import assemble_sessions, csv_utterances, json_metrics, sniff_delimiter, text_sessions, write_table
+from turnloom.sources.corpora import assemble_sessions, csv_utterances, ensure_table, json_metrics, markdown_table, media_files, sniff_delimiter, text_sessions, write_table
 
 
 def test_text_and_csv_sources(spark, tmp_path):
@@ -27,6 +27,24 @@ def test_text_and_csv_sources(spark, tmp_path):
     assert json_metrics(spark, str(tmp_path / "m.json")).count() == 2
     write_table(spark.range(20).withColumnRenamed("id", "client_id"), str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 20
+    ahead = text_sessions(spark, str(tmp_path / "txt"), r"(?P<client>x(?=_))_(?P<session>\d+)\.txt").collect()
+    assert [(r.client_code, r.session_number) for r in ahead] == [("x", 7)]
+
+
+def test_tables_reports_and_media(spark, tmp_path):
+    path = str(tmp_path / "new")
+    assert ensure_table(spark, path, "id long, code string").count() == 0
+    spark.createDataFrame([(1, "a|b")], "id long, code string").write.mode("append").parquet(path)
+    again = ensure_table(spark, path, "id long, code string")
+    assert again.count() == 1 and markdown_table(again) == "| id | code |\n| - | - |\n| 1 | a\\|b |"
+    with pytest.raises(ValueError):
+        markdown_table(spark.range(9), most=5)
+    (tmp_path / "m").mkdir()
+    for name, size in (("a.WAV", 10), ("b.mp4", 5000), ("c.txt", 1)):
+        (tmp_path / "m" / name).write_bytes(b"x" * size)
+    kinds = {"wav": "audio", "mp4": "video"}
+    assert {(r.kind, r.length) for r in media_files(spark, str(tmp_path / "m"), kinds).collect()} == {("audio", 10), ("video", 5000)}
+    assert [r.kind for r in media_files(spark, str(tmp_path / "m"), kinds, max_bytes=100).collect()] == ["audio"]
 
 
 def test_joins_episodes_moments_and_store(spark):

@@ -164,6 +164,13 @@ SELECT session_id, idx, {R('s', 4)} AS start_s, {R('coalesce(lead(s) OVER (PARTI
     "moment_in_turn": f"WITH {_POINTS} SELECT session_id, t, idx, start_s, end_s FROM (SELECT p.session_id, t, idx, start_s, end_s, row_number() OVER (PARTITION BY p.session_id, t ORDER BY idx) AS r FROM pts p JOIN timed i ON p.session_id = i.session_id AND t BETWEEN start_s AND end_s) WHERE r = 1",
     "moment_near_turn": f"WITH {_POINTS} SELECT p.session_id, t, {R('min(least(abs(start_s - t), abs(end_s - t)))', 4)} AS gap FROM pts p JOIN timed i USING (session_id) GROUP BY p.session_id, t",
     "event_episodes": f"WITH {_TRACK}, zz AS (SELECT *, v > avg(v) OVER w + 1.2::DOUBLE * stddev_pop(v) OVER w AS hi, v < greatest(0.0::DOUBLE, avg(v) OVER w - 1.2::DOUBLE * stddev_pop(v) OVER w) AS lo FROM track WINDOW w AS (PARTITION BY user_id)) {_ep('opening', 'hi')} UNION ALL {_ep('closure', 'lo')}",
+    "event_moments": f"""WITH RECURSIVE {_TRACK}, st AS (SELECT *, (v - avg(v) OVER w) / CASE WHEN stddev_pop(v) OVER w > 0 THEN stddev_pop(v) OVER w ELSE 1e-6 END AS zv, (u - avg(u) OVER w) / CASE WHEN stddev_pop(u) OVER w > 0 THEN stddev_pop(u) OVER w ELSE 1e-6 END AS zu,
+  row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS i, count(*) OVER w AS n FROM track WINDOW w AS (PARTITION BY user_id)),
+cand AS (SELECT user_id, t, i, greatest(3, n // 17) AS gap, {R('coalesce(abs(zv - lag(zv) OVER o), 0.0) + coalesce(abs(zu - lag(zu) OVER o), 0.0)', 6)} AS salience FROM st WHERE n >= 10 WINDOW o AS (PARTITION BY user_id ORDER BY t)),
+pick AS (SELECT DISTINCT user_id, 0 AS k, []::BIGINT[] AS chosen FROM cand
+  UNION ALL SELECT p.user_id, p.k + 1, list_append(any_value(p.chosen), arg_max(c.i, {{'s': c.salience, 'i': c.i}})) FROM pick p JOIN cand c ON c.user_id = p.user_id AND len(list_filter(p.chosen, lambda x: abs(x - c.i) <= c.gap)) = 0 WHERE p.k < 8 GROUP BY p.user_id, p.k),
+last AS (SELECT user_id, arg_max(chosen, k) AS chosen FROM pick GROUP BY user_id)
+SELECT c.user_id, c.t, c.salience FROM last l JOIN cand c ON c.user_id = l.user_id AND list_contains(l.chosen, c.i)""",
     "event_arc": f"""WITH {_TRACK}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS c FROM track),
 s AS (SELECT user_id, count(*) AS n, avg(v) FILTER (i < c // 3) AS f, avg(v) FILTER (i >= c - ceil(c / 3)) AS l, avg(v) FILTER (i < c // 2) AS h1, avg(v) FILTER (i >= c // 2) AS h2, avg(v) AS m, stddev_pop(v) AS sd, max(v) AS top FROM n GROUP BY user_id)
 SELECT user_id, n, {R('f', 6)} AS first_third, {R('l', 6)} AS last_third, CASE WHEN l / nullif(f, 0) >= 1.4::DOUBLE THEN 'rising' WHEN l / nullif(f, 0) <= 0.6::DOUBLE THEN 'fading' ELSE 'level' END AS engagement, {R('h2 - h1', 6)} AS half_shift, top > m + 2 * sd AS spike FROM s""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnloom.operators import models as M
 from turnloom.operators import simulate as Q
 from turnloom.operators.validate import confusion_long
-from turnloom.plans.fixtures import corpus_turns, sql_round as R
+from turnloom.plans.fixtures import CORPUS, corpus_turns, sql_round as R
 
 
 def programmed_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,7 @@ def grouped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"programmed_shapes": programmed_shapes, "screen_calibration": screen_calibration, "ratio_widths": ratio_widths, "behaviour_classifier": behaviour_classifier, "grouped_folds": grouped_folds}
 SQL = {
+    "grouped_folds": f"WITH {CORPUS} SELECT (('0x' || substr(md5(transcript_id::VARCHAR), 1, 8))::BIGINT % 5)::INT AS fold, count(DISTINCT transcript_id) AS n_groups, count(*) AS n_rows FROM corpus GROUP BY 1",
     "programmed_shapes": f"""WITH s AS (SELECT unnest(['improving', 'plateauing', 'relapsing', 'late_breakthrough', 'flat']) AS shape), g AS (SELECT shape, unnest(range(12)) AS i FROM s)
 SELECT shape, (i + 1)::INT AS n, {R("""CASE shape WHEN 'improving' THEN 0.25::DOUBLE + 0.55::DOUBLE * (i / 11.0::DOUBLE) WHEN 'plateauing' THEN 0.30::DOUBLE + 0.35::DOUBLE * least(1.0::DOUBLE, i / 3.0::DOUBLE)
   WHEN 'relapsing' THEN CASE WHEN i <= 4 THEN 0.30::DOUBLE + 0.40::DOUBLE * (i / 4.0::DOUBLE) ELSE 0.70::DOUBLE - 0.35::DOUBLE * ((i - 4) / 7.0::DOUBLE) END

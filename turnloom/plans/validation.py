@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnloom.functions.numeric import round_n
+from turnloom.functions.numeric import round_n, safe_corr
 from turnloom.operators import posterior as P
 from turnloom.operators import validate as V
 from turnloom.operators.score import DIMENSIONS, score_utterances
 from turnloom.plans.dyads import _corr, sql_erf
 from turnloom.plans.fixtures import CORPUS, SCORED_CORPUS, corpus_turns, scored_turns, sql_round as R, sql_scored, sql_space_words, space_words
 from turnloom.plans.series import LATEST, latest_measures
+from turnloom.session import table
 
 
 def _two(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +91,23 @@ def rate_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rate_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point-biserial correlation of speech rate with change talk among directional client turns."""
+    r = _rates(spark, sf_dir).where("speaker = 'client' and client_talk_type in ('change', 'sustain')")
+    y = (F.col("client_talk_type") == "change").cast("double")
+    return r.agg(F.count(F.lit(1)).alias("n"), round_n(safe_corr(F.col("rate"), y), 6).alias("r"))
+
+
+def paired_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired t of the two questionnaires of one session."""
+    return V.paired_t(_two(spark, sf_dir), "x", "y")
+
+
+def first_instrument(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instrument of a client's first measure, by id."""
+    return table(spark, sf_dir, "measures").where("client_id is not null").groupBy("client_id").agg(F.min_by("instrument", "id").alias("instrument"))
+
+
 def _called(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plain rule as stand-in classifier: the side of the score, neutral in between."""
     t = scored_turns(spark, sf_dir).where("speaker = 'client' and client_talk_type is not null")
@@ -142,7 +160,7 @@ def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "measure_agreement": measure_agreement, "measure_by_session": measure_by_session, "measure_lead_lag": measure_lead_lag, "label_means": label_means, "label_contrast": label_contrast, "rank_auc": rank_auc,
-    "conversation_validity": conversation_validity, "speech_rate": speech_rate, "rate_within": rate_within, "confusion_long": confusion, "metrics_by_class": metrics_by_class, "metrics_overall": metrics_overall,
+    "conversation_validity": conversation_validity, "speech_rate": speech_rate, "rate_correlation": rate_correlation, "paired_scores": paired_scores, "first_instrument": first_instrument, "rate_within": rate_within, "confusion_long": confusion, "metrics_by_class": metrics_by_class, "metrics_overall": metrics_overall,
     "class_weights": balanced_weights, "weight_refit": weight_refit, "weight_products": weight_products, "change_ratio": change_ratio, "readability": readability,
 }
 
@@ -186,6 +204,10 @@ u AS (SELECT *, n - n1 AS n0, r1 - n1 * (n1 + 1) / 2 AS u FROM s), z AS (SELECT
 SELECT n1::BIGINT AS n1, n0::BIGINT AS n0, u, {R('1 - ' + sql_erf('(z / sqrt(2.0::DOUBLE))'), 6)} AS p, {R('u / (n1 * n0)', 6)} AS auc FROM z""",
     "conversation_validity": f"{_DIR}, cv AS (SELECT transcript_id, coalesce(mi_quality, 'none') AS mi_quality, {R('avg(is_change)', 6)} AS ratio, {R('avg(process_mean)', 6)} AS pm FROM dir GROUP BY transcript_id, mi_quality HAVING count(*) >= 5), {_ranks('cv', 'ratio', 'pm', 'mi_quality')}",
     "speech_rate": f"{_RATES} SELECT client_talk_type, count(*) AS n, {R('avg(rate)', 6)} AS mean_rate, {R('quantile_cont(rate, 0.5)', 6)} AS median_rate, {R('coalesce(stddev_samp(rate), 0.0)', 6)} AS sd_rate FROM rates WHERE speaker = 'client' AND client_talk_type IS NOT NULL GROUP BY client_talk_type",
+    "rate_correlation": f"{_RATES} SELECT count(*) AS n, {R('corr(rate, (client_talk_type = ' + chr(39) + 'change' + chr(39) + ')::INT)', 6)} AS r FROM rates WHERE speaker = 'client' AND client_talk_type IN ('change', 'sustain')",
+    "paired_scores": f"""WITH {LATEST}, d AS (SELECT a.score - b.score AS d FROM latest a JOIN latest b USING (client_id, session_number) WHERE a.instrument = 'phq9' AND b.instrument = 'gad7')
+SELECT count(d) AS n, {R('avg(d)', 6)} AS mean_diff, {R('coalesce(stddev_samp(d), 0)', 6)} AS sd, {R('avg(d) / (stddev_samp(d) / sqrt(count(d)))', 4)} AS t FROM d""",
+    "first_instrument": "SELECT client_id, arg_min(instrument, id) AS instrument FROM measures WHERE client_id IS NOT NULL GROUP BY client_id",
     "rate_within": f"""{_RATES}, m AS (SELECT transcript_id, avg(rate) AS m, stddev_samp(rate) AS s, quantile_cont(rate, 0.5) AS med FROM rates GROUP BY transcript_id)
 SELECT transcript_id, idx, {R('CASE WHEN coalesce(s, 0) > 1e-12 THEN (rate - m) / s END', 4)} AS z, {R('rate - med', 6)} AS off_median, {R('rate - lag(rate) OVER (PARTITION BY transcript_id ORDER BY idx)', 6)} AS delta FROM rates JOIN m USING (transcript_id)""",
     "confusion_long": f"{_CONF} SELECT actual, predicted, n, {R('coalesce(n / nullif(sum(n) OVER (PARTITION BY actual), 0), 0.0)', 4)} AS row_share FROM conf",

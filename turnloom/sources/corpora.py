@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +34,7 @@ def text_sessions(spark: SparkSession, root: str, pattern: str | None = None) ->
         files = files.withColumns({"client_code": F.col("dir_"), "given_": F.lit(None).cast("int")})
     else:
         java = pattern.replace("(?P<", "(?<")
-        order = sorted((pattern.index(f"(?P<{g}>"), g) for g in ("client", "session") if f"(?P<{g}>" in pattern)
-        at = {g: 1 + pattern[:i].replace("(?:", "").replace(r"\(", "").count("(") for i, g in order}
+        at = re.compile(pattern).groupindex
         files = files.where(F.col("name_").rlike(java)).withColumn("client_code", F.regexp_extract("name_", java, at["client"]))
         given = F.regexp_extract("name_", java, at["session"]).try_cast("int") if "session" in at else F.lit(None).cast("int")
         files = files.withColumn("given_", F.nullif(given, F.lit(0)))
@@ -97,10 +98,29 @@ def write_table(df: DataFrame, path: str, key: str = "client_id", buckets: int =
     df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def media_files(spark: SparkSession, root: str, kinds: dict[str, str]) -> DataFrame:
-    """Media by extension: (path, kind, length); other files are left out and no bytes are read."""
+def ensure_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The parquet table at ``path``, made empty with ``schema`` where there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+        return spark.read.schema(schema).parquet(path)
+
+
+def markdown_table(df: DataFrame, most: int = 200) -> str:
+    """A small result as a markdown table; more than ``most`` rows raise, since a report is no place for a table that grows."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    cell = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [df.columns, ["-"] * len(df.columns), *[[cell(v) for v in r] for r in rows]]
+    return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+
+
+def media_files(spark: SparkSession, root: str, kinds: dict[str, str], max_bytes: int | None = None) -> DataFrame:
+    """Media by extension: (path, kind, length); other files and, with ``max_bytes``, larger ones are left out and no bytes are read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).alias("ext"))
     kind = F.lit(None).cast("string")
     for ext, k in kinds.items():
         kind = F.when(F.col("ext") == ext, k).otherwise(kind)
-    return f.withColumn("kind", kind).where("kind is not null").select("path", "kind", "length")
+    return f.withColumn("kind", kind).where("kind is not null").where(F.lit(True) if max_bytes is None else F.col("length") <= max_bytes).select("path", "kind", "length")
