@@ -55,9 +55,11 @@ def sql() -> dict[str, str]:
     head = f"WITH map(src, dst) AS (SELECT * FROM (VALUES {rows}) v(src, dst)), f AS {form('documents', 'doc_id')}, d AS (SELECT doc_id, text, form FROM documents JOIN f USING (doc_id))"
     grams = lambda source, key: f"""(SELECT DISTINCT {key}, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 11)) AS i FROM (
   SELECT {key}, regexp_extract_all(lower(form), '[\\p{{L}}\\p{{N}}]+') AS w FROM {source}) WHERE len(w) >= 13))"""
+    leaks = f"{head}, e AS {form('eval_items', 'item_id')}, x AS {grams('f', 'doc_id')}, y AS {grams('e', 'item_id')}"
     return {
         "p9_found": f"{head} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM d a JOIN d b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id",
         "p9_classes": f"{head}, c AS (SELECT form, min(doc_id) AS class_id, count(DISTINCT doc_id) AS n_documents, count(DISTINCT text) AS n_stored FROM d GROUP BY form) SELECT DISTINCT doc_id, class_id, n_documents, n_stored FROM d JOIN c USING (form)",
         "p9_documents": f"{head} SELECT o.doc_id, f.form AS consistent_text, NOT (o.text IS NOT DISTINCT FROM f.form) AS changed FROM documents o LEFT JOIN f ON o.doc_id = f.doc_id AND o.text IS NOT NULL",
-        "p7_found": f"{head}, e AS {form('eval_items', 'item_id')}, x AS {grams('f', 'doc_id')}, y AS {grams('e', 'item_id')} SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (g)",
+        "p7_found": f"{leaks} SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (g)",
+        "p7_clean_documents": f"{leaks} SELECT doc_id, source, text FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM x JOIN y USING (g))",
     }
