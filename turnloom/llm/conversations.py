@@ -68,7 +68,7 @@ def link_conversations(messages: DataFrame, message_id: str, *links: str) -> Dat
     ties = messages.select(F.col(message_id).alias("a"), F.explode(F.array(*[F.col(c) for c in links])).alias("b"))
     known = ties.where("b is not null").join(ids.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
     whole = isinstance(messages.schema[message_id].dataType, (T.LongType, T.IntegerType, T.ShortType))
-    roots = star_components(contracted(known) if whole else known)
+    roots = chained_components(known) if whole else star_components(known)
     return (
         ids.join(roots, "node", "left")
         .select(F.col("node").alias(message_id), F.coalesce("root", "node").alias("conversation_id"))
@@ -76,9 +76,9 @@ def link_conversations(messages: DataFrame, message_id: str, *links: str) -> Dat
 
 
 def contracted(links: DataFrame) -> DataFrame:
-    """``(a, b)``: the links of each partition replaced by ones from every node to the smallest node it is tied to there; the components stay the same.
+    """``(node, root)``: every node of each partition with the smallest node it is tied to there; a node that several partitions know may have several.
 
-    Links that lie together, as those of one conversation mostly do, become stars before anything is shuffled, so long chains cost no rounds. Nodes are 64-bit numbers.
+    Links are first put in ranges of their ids, so that those of one conversation mostly lie together and long chains cost no rounds. Nodes are 64-bit numbers.
     """
 
     def run(batches):
@@ -95,10 +95,19 @@ def contracted(links: DataFrame) -> DataFrame:
                 if (low == root).all():
                     break
                 root = low
-            tied = np.flatnonzero(root != np.arange(len(names)))
-            yield pd.DataFrame({"a": names[tied], "b": names[root[tied]]})
+            yield pd.DataFrame({"node": names, "root": names[root]})
 
-    return links.where("a is not null and b is not null").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInPandas(run, "a long, b long")
+    whole = links.where("a is not null and b is not null").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    return whole.repartitionByRange("a").sortWithinPartitions("a").mapInPandas(run, "node long, root long")
+
+
+def chained_components(links: DataFrame) -> DataFrame:
+    """``(node, root)`` as ``star_components``, for graphs of long chains: the star joins only tie the roots that partitions found, where a node has more than one."""
+    local = cut(contracted(links))
+    node = local.groupBy("node").agg(F.min("root").alias("low"), F.collect_set("root").alias("all"))  # as many roots as partitions that know the node
+    ties = node.where(F.size("all") > 1).select(F.explode("all").alias("a"), F.col("low").alias("b"))
+    top = star_components(ties).withColumnRenamed("node", "low")
+    return hot_join(node.select("node", "low"), top, "low", how="left").select("node", F.coalesce("root", "low").alias("root"))
 
 
 def _utterances(rows: DataFrame, cid: str, uid: str, who: str, text: str, keep_text: bool) -> DataFrame:
